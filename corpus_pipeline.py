@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import packing
+from graphloom.llm import decontaminate, langid, packing, pii, simhash
+from graphloom.plans.shared import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language (7); null and letterless texts go."""
+    return langid.keep_identified(docs, langid.train(langid.learnable(docs)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class (6), that of the smallest id; shingles of five words."""
+    return simhash.keep_one(docs, words=5)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window (10)."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked in the texts (4)."""
+    return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of every document left."""
+    """Every document left, packed into sequences (3)."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("PII", mask_personal_data),
+    ("best-fit packing", pack),
+]
+#: Not expressible in SQL (language models, fingerprints, tokens): tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
-    from graphloom.plans.shared import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
