@@ -1 +1 @@
-
+"""Sources: stored tables as entities and relations."""
