@@ -126,22 +126,39 @@ class Model:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
-        doc = np.repeat(np.arange(len(texts)), [len(t) + ORDER for t in texts])[ORDER:]
-        place = np.concatenate([np.arange(len(t) + ORDER) for t in texts])[ORDER:] if texts else np.zeros(0, int)
-        for lo in range(0, len(data) - ORDER, AT_ONCE):
-            windows = _windows(data[lo : lo + AT_ONCE + ORDER])
-            own = place[lo : lo + AT_ONCE] >= ORDER
-            windows, d = windows[own], doc[lo : lo + AT_ONCE][own]
-            at = self.lookup(windows)
-            new = np.flatnonzero(at < 0)
-            fresh = [t.bits(windows[new]) for t in self.trees]
-            for k in range(len(self.languages)):
-                cost = self.costs[at, k]
-                cost[new] = fresh[k]
-                out[:, k] += np.bincount(d, weights=cost, minlength=len(texts))
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            data = _PAD + text
+            for at in range(0, len(text), AT_ONCE):  # a piece starts with the bytes before it
+                held.append((i, data[at : at + AT_ONCE + ORDER]))
+                size += len(held[-1][1])
+                if size >= AT_ONCE:
+                    self._add(held, out)
+                    held, size = [], 0
+        if held:
+            self._add(held, out)
         return out
 
+    def _add(self, pieces: list[tuple[int, bytes]], out: np.ndarray) -> None:
+        sizes = np.array([len(p) for _, p in pieces])
+        windows = _windows(np.frombuffer(b"".join(p for _, p in pieces), np.uint8))
+        # a window that spans two pieces belongs to neither
+        starts = np.cumsum(sizes)[:-1]
+        own = np.ones(len(windows), bool)
+        for k in range(ORDER):
+            own[starts - ORDER + k] = False
+        windows = windows[own]
+        doc = np.repeat(np.array([i for i, _ in pieces]), sizes - ORDER)
+        at = self.lookup(windows)
+        new = np.flatnonzero(at < 0)
+        for k, tree in enumerate(self.trees):
+            cost = self.costs[at, k]
+            cost[new] = tree.bits(windows[new])
+            first = pieces[0][0]
+            bits = np.bincount(doc - first, weights=cost)
+            out[first : first + len(bits), k] += bits
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each whole text."""
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -162,10 +179,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     reaches the driver is bounded by the sample.
     """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    chance = (F.col("h") / F.lit(float(2**64)) + 0.5) * F.col("n") <= F.lit(train_docs)
+    # one number per language, as the model has one tree per language
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, train_docs / n).otherwise(share)
     # a text's hash decides alone, so copies are in or out together and count once
-    picked = labelled.join(sizes, "lang").where(chance).select("lang", "text").distinct()
+    picked = labelled.where(F.col("h") / F.lit(float(2**64)) + 0.5 <= share).select("lang", "text").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
