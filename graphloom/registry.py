@@ -2,5 +2,189 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import graphloom
+from graphloom.operators import analytics, quant, traversal, vector
+from graphloom.sources import tables
+
+#: Iterations of the registered PageRank, below convergence so that SQL can follow.
+STEPS = 5
+
+
+def _first(spark: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in tables.vectors(spark, d).where("id = 0").head()["embedding"]]
+
+
+def _search(spark: SparkSession, d: str) -> DataFrame:
+    out = vector.vector_search(tables.similarity(spark, d), _first(spark, d), 10)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    out = vector.hybrid_search(tables.similarity(spark, d), _first(spark, d), 10)
+    return out.withColumns({c: F.round(c, 6) for c in ("vector_score", "graph_score", "combined_score")})
+
+
+def _quantized(level: str):  # noqa: ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = quant.similarity_expr(F.col("embedding"), _first(spark, d), level)
+        return tables.vectors(spark, d).select(F.col("id").alias("entity_id"), F.round(s, 4).alias("similarity"))
+
+    return run
+
+
+def _quantized_search(spark: SparkSession, d: str) -> DataFrame:
+    return quant.quantized_search(tables.similarity(spark, d), _first(spark, d), 10, "int8")
+
+
+def _order(spark: SparkSession, d: str) -> int:
+    return tables.table(spark, d, "orders").agg(F.min("o_orderkey")).head()[0] * 10 + tables.TAGS["orders"]
+
+
+def _path(spark: SparkSession, d: str) -> DataFrame:
+    nation = tables.table(spark, d, "nation").agg(F.min("n_nationkey")).head()[0] * 10 + tables.TAGS["nation"]
+    out = traversal.shortest_path(tables.commerce(spark, d), _order(spark, d), nation, 6)
+    return out.select("found", "from_id", "to_id", "total_cost", "hops", F.size("path").alias("steps"))
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    out = traversal.context(tables.commerce(spark, d), _order(spark, d), 2)
+    return out.select("center_entity_id", "depth", "total_nodes", F.size("context_nodes").alias("listed"))
+
+
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    v = tables.vectors(spark, d)
+    q = quant.TrainedQuantizer("int8").fit(v)
+    return q.encode(v).select("id", F.hex("quantized.data").alias("data"), "quantized.dims")
+
+
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 of int8 codes for the first vectors as queries, a broadcast of ten rows."""
+    graph = tables.similarity(spark, d)
+    found = {"exact": None, "codes": None}
+    for i, row in enumerate(tables.vectors(spark, d).where("id < 10").orderBy("id").collect()):
+        for name, run in (("exact", vector.vector_search), ("codes", quant.quantized_search)):
+            rows = run(graph, row["embedding"], 10).select(F.lit(i).alias("query_id"), "entity_id")
+            found[name] = rows if found[name] is None else found[name].unionByName(rows)
+    return vector.recall_at_k(found["exact"], found["codes"]).withColumn("recall", F.round("recall", 6))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    of = tables.vectors(spark, d).select(F.col("id").alias("entity_id"), F.col("entity_type").cast("int").alias("community_id"))
+    return analytics.edge_modularity(tables.interaction(spark, d), of).withColumn("modularity", F.round("modularity", 6))
+
+
+QUERIES = {
+    "kg_version": lambda s, d: s.range(1).select(F.lit(graphloom.__version__).alias("version")),
+    "kg_stats": lambda s, d: tables.commerce(s, d).stats().withColumn("density", F.round("density", 12)),
+    "kg_bfs": lambda s, d: traversal.bfs(tables.commerce(s, d), _order(s, d), 4),
+    "kg_dfs_tree": lambda s, d: traversal.dfs(tables.hierarchy(s, d), -1, 3),
+    "kg_shortest_path": _path,
+    "kg_context": _context,
+    "kg_pagerank": lambda s, d: analytics.pagerank(tables.commerce(s, d), 0.85, STEPS).withColumn("score", F.round(F.col("score") * 1e6, 4)),
+    "kg_louvain": lambda s, d: analytics.louvain(tables.interaction(s, d)),
+    "kg_louvain_distributed": lambda s, d: analytics.louvain(tables.interaction(s, d), "distributed"),
+    "kg_edge_modularity": _labels,
+    "kg_connected_components": lambda s, d: analytics.connected_components(tables.interaction(s, d)),
+    "kg_strongly_connected_components": lambda s, d: analytics.strongly_connected_components(tables.interaction(s, d)),
+    "kg_vector_search": _search,
+    "kg_hybrid_search": _hybrid,
+    "kg_quantized_search": _quantized_search,
+    "kg_quantized_int8": _quantized("int8"),
+    "kg_quantized_int4": _quantized("int4"),
+    "kg_quantized_binary": _quantized("binary"),
+    "kg_quantize_info": lambda s, d: quant.quantize_info(s),
+    "kg_sq_train": lambda s, d: quant.train_ranges(tables.vectors(s, d)),
+    "kg_sq_encode": _trained,
+    "kg_recall_at_10": _recall,
+}
+
+_G1 = """
+e AS (SELECT o_orderkey AS seq, o_orderkey * 10 + 5 AS s, o_custkey * 10 + 2 AS t, 'placed_by' AS rel, 1.0::DOUBLE AS w FROM orders
+  UNION ALL SELECT l_orderkey * 10 + l_linenumber + 1000000000000, l_orderkey * 10 + 5, l_partkey * 10 + 4, 'contains', l_quantity FROM lineitem
+  UNION ALL SELECT l_orderkey * 10 + l_linenumber + 2000000000000, l_partkey * 10 + 4, l_suppkey * 10 + 3, 'supplied_by', 1.0 FROM lineitem
+  UNION ALL SELECT s_suppkey + 3000000000000, s_suppkey * 10 + 3, s_nationkey::BIGINT * 10 + 1, 'located_in', 1.0 FROM supplier
+  UNION ALL SELECT c_custkey + 4000000000000, c_custkey * 10 + 2, c_nationkey::BIGINT * 10 + 1, 'located_in', 1.0 FROM customer
+  UNION ALL SELECT n_nationkey + 5000000000000, n_nationkey::BIGINT * 10 + 1, n_regionkey::BIGINT * 10, 'part_of', 1.0 FROM nation),
+v AS (SELECT o_orderkey * 10 + 5 AS v FROM orders UNION SELECT c_custkey * 10 + 2 FROM customer UNION SELECT p_partkey * 10 + 4 FROM part
+  UNION SELECT s_suppkey * 10 + 3 FROM supplier UNION SELECT n_nationkey::BIGINT * 10 + 1 FROM nation UNION SELECT r_regionkey::BIGINT * 10 FROM region),
+n AS (SELECT v FROM v UNION SELECT s FROM e UNION SELECT t FROM e),
+o AS (SELECT min(o_orderkey) * 10 + 5 AS o FROM orders)"""
+_BFS = """
+b(v, d) AS (SELECT o, 0 FROM o UNION SELECT e.t, d + 1 FROM b JOIN e ON e.s = b.v WHERE d < {depth}),
+l AS (SELECT v, min(d) AS d FROM b GROUP BY v),
+p(v, d, k, parent, rel, w, c) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE FROM o UNION ALL
+  SELECT e.t, p.d + 1, min(list_append(p.k, e.seq)), arg_min(p.v, list_append(p.k, e.seq)), arg_min(e.rel, list_append(p.k, e.seq)),
+    arg_min(e.w, list_append(p.k, e.seq)), arg_min(p.c + e.w, list_append(p.k, e.seq))
+  FROM p JOIN e ON e.s = p.v JOIN l ON l.v = e.t AND l.d = p.d + 1 GROUP BY e.t, p.d)"""
+_G2 = """e AS (SELECT user_id AS s, CAST(json_extract(props, '$.k') AS BIGINT) AS t, value AS w FROM events),
+n AS (SELECT vec_id AS v FROM embeddings UNION SELECT s FROM e UNION SELECT t FROM e)"""
+_Q = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+
+
+def _pagerank_sql() -> str:
+    out = f"""WITH {_G1}, m AS (SELECT count(*)::DOUBLE AS n FROM n), dg AS (SELECT s, count(*)::DOUBLE AS k FROM e GROUP BY s),
+p0 AS MATERIALIZED (SELECT v, 1 / (SELECT n FROM m) AS x FROM n)"""
+    for i in range(STEPS):
+        out += f""", i{i} AS (SELECT e.t, sum(p.x / dg.k) AS x FROM p{i} p JOIN dg ON dg.s = p.v JOIN e ON e.s = p.v GROUP BY e.t),
+y{i} AS (SELECT coalesce(sum(x), 0) AS y FROM p{i} WHERE v NOT IN (SELECT s FROM dg)),
+p{i + 1} AS MATERIALIZED (SELECT n.v, 0.15 / m.n + 0.85 * (coalesce(i{i}.x, 0) + y{i}.y / m.n) AS x FROM n CROSS JOIN m CROSS JOIN y{i} LEFT JOIN i{i} ON i{i}.t = n.v)"""
+    return out + f" SELECT v AS entity_id, round(x * 1e6, 4) AS score FROM p{STEPS}"
+
+
+def _quantized_sql(level: str) -> str:
+    s, r = quant.signs(64, 0).astype(int).tolist(), quant.projection(64, quant.DEFAULT_SEED).astype(int).tolist()
+    if level == "int8":
+        code = "floor((least(greatest(a, -4.0::DOUBLE), 4.0) + 4.0) / 8.0 * 255.0 + 0.5) * (8.0::DOUBLE / 255.0) - 4.0"
+    elif level == "int4":
+        pairs = zip(quant.LEVELS_4BIT, quant.LEVELS_4BIT[1:], strict=False)
+        code = "CASE " + " ".join(f"WHEN a <= {(a + b) / 2!r}::DOUBLE THEN {a}::DOUBLE" for a, b in pairs) + f" ELSE {quant.LEVELS_4BIT[-1]}::DOUBLE END"
+    else:
+        code = "CASE WHEN a >= 0 THEN 0.7979::DOUBLE ELSE -0.7979::DOUBLE END"
+    fix = "0.0" if level == "binary" else f"(CASE WHEN list_dot_product(res, r) >= 0 THEN 1.0 ELSE -1.0 END) * sqrt(list_dot_product(res, res)) * n / 8.0 * (list_dot_product(q, r) / 8.0 * {quant.CORRECTION})"
+    return f"""WITH {_Q}, c AS (SELECT {s}::DOUBLE[] AS s, {r}::DOUBLE[] AS r),
+x AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+t AS (SELECT vec_id, n, q, s, r, [x[i] * s[i] * 8.0::DOUBLE / n for i in range(1, 65)] AS t FROM x, q, c),
+k AS (SELECT *, [{code} for a in t] AS k FROM t),
+z AS (SELECT *, [t[i] - k[i] for i in range(1, 65)] AS res, [q[i] * s[i] for i in range(1, 65)] AS sq FROM k)
+SELECT vec_id AS entity_id, round(least(greatest((list_dot_product(k, sq) * n / 8.0 + {fix}) / (n * sqrt(list_dot_product(q, q))), -1.0), 1.0), 4) AS similarity FROM z"""
+
+
+ORACLE_SQL = {
+    "kg_version": f"SELECT '{graphloom.__version__}' AS version",
+    "kg_stats": f"WITH {_G1}, c AS (SELECT (SELECT count(*) FROM v) AS a, (SELECT count(*) FROM e) AS b) SELECT a AS entity_count, b AS relation_count, round(b / (a::DOUBLE * (a - 1)), 12) AS density FROM c",
+    "kg_bfs": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=4)} SELECT v AS entity_id, d AS depth, parent AS parent_id, rel AS rel_type, w AS weight FROM p",
+    "kg_dfs_tree": """WITH a AS (SELECT -1::BIGINT AS entity_id, 0 AS depth, NULL::BIGINT AS parent_id, NULL::VARCHAR AS rel_type, 0.0::DOUBLE AS weight
+  UNION ALL SELECT r_regionkey * 10, 1, -1, 'has', 1.0 FROM region
+  UNION ALL SELECT n_nationkey * 10 + 1, 2, n_regionkey * 10, 'has', 1.0 FROM nation
+  UNION ALL SELECT c_custkey * 10 + 2, 3, c_nationkey * 10 + 1, 'has', 1.0 FROM customer) SELECT * FROM a""",
+    "kg_shortest_path": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=6)} SELECT v IS NOT NULL AS found, (SELECT o FROM o) AS from_id, g AS to_id, coalesce(c, 0.0) AS total_cost, coalesce(d, 0) AS hops, CASE WHEN v IS NULL THEN 0 ELSE d + 1 END AS steps FROM (SELECT min(n_nationkey)::BIGINT * 10 + 1 AS g FROM nation) LEFT JOIN p ON v = g",
+    "kg_context": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=2)} SELECT (SELECT o FROM o) AS center_entity_id, 2 AS depth, count(*) AS total_nodes, count(*)::INT AS listed FROM p",
+    "kg_pagerank": _pagerank_sql(),
+    "kg_edge_modularity": f"""WITH {_G2}, m AS (SELECT sum(w) AS m FROM e), k AS (SELECT v, sum(w) AS k FROM (SELECT s AS v, w FROM e UNION ALL SELECT t, w FROM e) GROUP BY v)
+SELECT round(sum(e.w - a.k * b.k / (2 * m.m)) / any_value(m.m), 6) AS modularity FROM e JOIN embeddings x ON x.vec_id = e.s JOIN embeddings y ON y.vec_id = e.t AND y.label = x.label
+JOIN k a ON a.v = e.s JOIN k b ON b.v = e.t CROSS JOIN m""",
+    "kg_connected_components": f"""WITH RECURSIVE {_G2}, u AS (SELECT DISTINCT s, t FROM e UNION SELECT DISTINCT t, s FROM e), r(v, x) AS (SELECT s, s FROM u UNION SELECT r.v, u.t FROM r JOIN u ON u.s = r.x),
+g AS (SELECT n.v, coalesce(min(r.x), n.v) AS root FROM n LEFT JOIN r ON r.v = n.v GROUP BY n.v)
+SELECT v AS entity_id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS component_id FROM g""",
+    "kg_strongly_connected_components": f"""WITH RECURSIVE {_G2}, u AS (SELECT DISTINCT s, t FROM e), r(a, b) AS (SELECT s, t FROM u UNION SELECT r.a, u.t FROM r JOIN u ON u.s = r.b),
+z AS (SELECT x.a, min(x.b) AS b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+g AS (SELECT n.v, least(n.v, coalesce(z.b, n.v)) AS root FROM n LEFT JOIN z ON z.a = n.v),
+i AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS id FROM g GROUP BY root)
+SELECT v AS entity_id, id::INT AS scc_id FROM g JOIN i USING (root)""",
+    "kg_vector_search": f"WITH {_Q} SELECT vec_id AS entity_id, 'vec_' || vec_id AS entity_name, label::VARCHAR AS entity_type, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10",
+    "kg_hybrid_search": f"""WITH RECURSIVE {_Q}, m AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT event_id % n AS s, (user_id * 31 + CAST(json_extract(props, '$.k') AS BIGINT) * 7) % n AS t FROM events, m WHERE event_id < 4 * n AND event_type IN ('click', 'purchase')),
+h AS (SELECT vec_id, 'vec_' || vec_id AS name, label::VARCHAR AS kind, list_cosine_similarity(embedding::DOUBLE[], q) AS x FROM embeddings, q ORDER BY x DESC, vec_id LIMIT 10),
+r(v, x, d) AS (SELECT vec_id, vec_id, 0 FROM h UNION SELECT r.v, e.t, d + 1 FROM r JOIN e ON e.s = r.x WHERE d < 2),
+c AS (SELECT v, count(DISTINCT x) - 1 AS n FROM r GROUP BY v),
+g AS (SELECT *, CASE WHEN n > 0 THEN 1 / (1 + 0.1 * n::DOUBLE) ELSE 0.5 END AS y FROM h JOIN c ON c.v = h.vec_id)
+SELECT vec_id AS entity_id, name AS entity_name, kind AS entity_type, round(x, 6) AS vector_score, round(y, 6)::DOUBLE AS graph_score, round(0.7::DOUBLE * x + 0.3::DOUBLE * y, 6) AS combined_score, n AS neighbors_count FROM g""",
+    "kg_quantized_int8": _quantized_sql("int8"),
+    "kg_quantized_int4": _quantized_sql("int4"),
+    "kg_quantized_binary": _quantized_sql("binary"),
+    "kg_quantize_info": "SELECT name, bits::INT AS bits_per_value, ratio::DOUBLE AS compression_ratio, loss::DOUBLE AS expected_recall_loss, speed AS expected_speedup, name = 'int8' AS is_default FROM (VALUES ('int8', 8, 4.0, 0.0, '2-3x'), ('int4', 4, 8.0, 0.02, '4-6x'), ('binary', 1, 32.0, 0.05, '8-10x')) t(name, bits, ratio, loss, speed)",
+    "kg_sq_train": "SELECT (i - 1)::INT AS dim, min(embedding[i]) AS lo, max(embedding[i]) AS hi FROM embeddings, range(1, 65) r(i) GROUP BY i",
+}
