@@ -58,9 +58,9 @@ def score(docs: DataFrame, size: int = VOCABULARY, hot: int = HOT, min_count: in
     coded = coded.join(other, "v", "left").select("row", F.when(F.col("v").isNull(), F.lit(-2)).otherwise(F.coalesce("ida", F.lit(UNK))).alias("a"), "b")
     # ids are ranks: below `hot` are the most frequent words; the unknown word and the start are hot too
     frequent = (F.col("a") < hot) & (F.col("b") < hot)
-    table = coded.where(frequent).groupBy("a", "b").agg(F.count("*").alias("c2"))
-    table = stage(table, "lm-hot-pairs")
-    mine = coded.where(frequent).join(F.broadcast(table), ["a", "b"])
+    often = stage(coded.where(frequent), "lm-hot")
+    table = stage(often.groupBy("a", "b").agg(F.count("*").alias("c2")), "lm-hot-pairs")
+    mine = often.join(F.broadcast(table), ["a", "b"])
     rest = coded.where(~frequent).withColumn("c2", F.count("*").over(Window.partitionBy("a", "b")))
     # N words; those outside the vocabulary are all <unk>
     in_words = known.agg(F.sum("c")).head()[0] or 0
