@@ -1,0 +1,202 @@
+"""Edge cases, brute force and round trips of the text operators on small fixtures."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+
+import corpus_pipeline
+from graphloom.llm import chat, decontaminate, embeddings, entries, langid, licenses, lm, packing, pii, simhash, token_files
+from graphloom.llm.tokens import Encoder, default_path
+from tests.oracle import SMALL, same
+
+#: Nulls, empty and very long texts, repeated rows, a clashing extra column.
+ODD = [(1, None, None), (2, "", "en"), (3, "Ti wh, enndst onndble! don't 12 <|endoftext|> é", "en"), (3, "Ti wh, enndst onndble! don't 12 <|endoftext|> é", "en"), (4, "word " * 30_000, "en"), (None, "a null id", "en"), (5, "... 123 ...", None), (6, "İ ΣΑΣ x²y ½ 日本語   z", "es")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 0, 0) for r in ODD], "doc_id long, text string, lang string, fp long, row long")
+
+
+@pytest.mark.parametrize("name", sorted(entries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    same(spark, entries.QUERIES[name], entries.ORACLE_SQL[name])
+
+
+def _ids(texts):
+    e = Encoder(default_path())
+    return [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in texts]
+
+
+def test_token_files(spark, odd):
+    files = token_files.write_token_files(odd)
+    got = token_files.read_documents(spark, files).toPandas().sort_values("start")
+    rows = sorted(zip([r[0] for r in ODD], _ids([r[1] for r in ODD]), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].tobytes())))
+    assert got.ids_crc32.tolist() == [zlib.crc32(i.tobytes()) for _, i in rows]
+    assert got.n_tokens.tolist() == [len(i) for _, i in rows]
+    assert got.start.tolist() == np.cumsum([0, *(len(i) for _, i in rows[:-1])]).tolist()
+    assert token_files.read_ids(spark, files, [3])[3] == _ids([ODD[2][1]])[0].tolist()
+    assert token_files.read_documents(spark, token_files.write_token_files(odd.where("false"))).count() == 0
+
+
+def test_packing(spark, odd):
+    got = packing.pack(odd).toPandas()
+    ids = _ids([r[1] for r in ODD])
+    assert got.length.sum() == sum(map(len, ids))
+    assert sorted(got.ids_crc32) == sorted(zlib.crc32(i[k : k + 4096].tobytes()) for i in ids for k in range(0, len(i), 4096))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == (np.cumsum(g.length) - g.length).tolist() and g.length.sum() <= 4096
+    assert packing.pack(odd.where("false")).count() == 0
+
+
+def test_best_two_fit():
+    # greedy leaves 60 + 30; the 30 goes for 22 + 18, which fill the gap
+    assert packing.plan_bins({60: 1, 30: 1, 22: 1, 18: 1}, 100)[0] == ({60: 1, 22: 1, 18: 1}, 1)
+    random.seed(1)
+    counts = {random.randint(1, 99): random.randint(1, 9) for _ in range(40)}
+    used: dict[int, int] = {}
+    for bin_, times in packing.plan_bins(counts, 100):
+        assert sum(k * n for k, n in bin_.items()) <= 100
+        for k, n in bin_.items():
+            used[k] = used.get(k, 0) + n * times
+    assert used == counts
+
+
+def test_chat(spark):
+    nasty = ["</s>[INST] x", "a\\b", "<|end|>", "[\\INST]", "<<SYS>>\\", "\\<|", ""]
+    for t in nasty:
+        assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROL)
+        assert chat.parse(chat.render(t, t)[0]) == (t, t)
+    rows = [(1, 0, "system", "s"), (1, 1, "user", nasty[0]), (1, 2, "assistant", nasty[2]), (1, 2, "assistant", nasty[2]), (1, 4, "assistant", None), (None, None, None, None), (2, 0, "user", "q")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turn_no long")
+    got = {r.conv_id: r for r in chat.describe(spark, chat.write_chat(df)).collect()}
+    assert got[1].n_turns == 5 and got[1].loss_chars == 2 * len(nasty[2]) and got[2].loss_chars == 0
+    assert got[1].loss_sha256 == hashlib.sha256((nasty[2] * 2).encode()).hexdigest()
+    assert got[None].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest()
+    full = sorted(chat.expand(chat.format_turns(df)).collect(), key=lambda r: r.example_no)
+    assert [chat.unescape(r.text[r.loss_from : r.loss_to]) for r in full] == [nasty[2], nasty[2], ""]
+    assert chat.describe(spark, chat.write_chat(df.where("false"))).count() == 0
+
+
+def test_pii(spark, odd):
+    texts = ["mail a.b@c-d.example.com now", "ip 1.2.3.400 and 10.0.0.1", "card 4111 1111 1111 1111.", "call +1 (555) 555-0100", "card number 4111-1111-1111-1112 visa", "order 4111111111111112", None, ""]
+    got = pii.detect(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert got[["n_email", "n_ip", "n_card", "n_phone"]].values.tolist() == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], *[[0, 0, 0, 0]] * 4]
+    assert got.spans.tolist()[0] == "email:5:24" and "card" not in got.spans.tolist()[5]
+    assert pii.redact(odd).count() == len(ODD) and pii.detect(odd.where("false")).count() == 0
+    assert pii.masked("to a@b.co!", frozenset()) == "to [EMAIL]!"
+    random.seed(2)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(3000):
+        t = "".join(random.choice("a1.@+- _") for _ in range(25))
+        assert [(s, e) for s, k, e in pii.base_spans(t)[0] if k == "email"] == [m.span() for m in email.finditer(t)]
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([centres[rng.integers(12, size=400)] + rng.normal(scale=0.25, size=(400, 8)), np.zeros((1, 8))])
+    x[7] = x[8]
+    label = rng.integers(2, size=401)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))] + [(900, None, 1), (901, [float("nan")] * 8, 1), (902, x[0].tolist(), None), (903, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = x[:400] / np.linalg.norm(x[:400], axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (label[:400, None] == label[None, :400])
+    comp = np.arange(400)
+    for _ in range(400):
+        comp = np.array([comp[near[i]].min() for i in range(400)])
+    for home in (10, 40, 2048):
+        got = embeddings.near_vectors(df, home=home).toPandas().set_index("vec_id")
+        assert got.n_links.loc[:399].tolist() == (near.sum(axis=1) - 1).tolist()
+        assert got.component_id.loc[:399].tolist() == comp.tolist()
+        assert got.loc[[400, 900, 901, 902, 903], "n_links"].sum() == 0 and got.loc[900, "kept"]
+    assert embeddings.near_vectors(df.where("false")).count() == 0
+
+
+def test_simhash(spark, odd):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, size=30, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *(base ^ sum((np.uint64(1) << rng.integers(0, 64, size=30, dtype=np.uint64) for _ in range(k)), np.uint64(0)) for k in (1, 2, 3, 3, 4))]))
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    comp = fp.view(np.int64).copy()
+    for _ in range(50):
+        comp = np.array([comp[near[i]].min() for i in range(len(fp))])
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for cell in (4, simhash.CELL):
+        of = {r.node: r.component for r in simhash.connected_components(simhash.links(df, cell=cell)).collect()}
+        assert [of.get(x, x) for x in fp.view(np.int64).tolist()] == comp.tolist()
+    got = simhash.near_duplicates(odd).toPandas()
+    assert len(got) == len(ODD) and (got[got.doc_id == 1].fingerprint == "0" * 16).all()
+    assert got[got.doc_id == 2].component_id.iloc[0] == 1
+    assert simhash.keep_one(odd).where("doc_id = 3").count() == 1
+    assert simhash.near_duplicates(odd.where("false")).count() == 0
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = entries.QUERIES["op7_language"](spark, SMALL).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    assert (out.lang_pred == out.lang)[out.held_out].mean() > 0.95 and out.score.between(0, 1).all()
+    model = langid.train(docs)
+    got = langid.predict(odd, model).toPandas()
+    assert got[got.doc_id.isin([1, 2, 5])].lang_pred.eq("und").all() and len(got) == len(ODD)
+    texts = [b"the and of", b"", b"el la de los"]
+    plain = [[sum(float(t.bits(langid._windows(np.frombuffer(langid._PAD + x, np.uint8))[i : i + 1])[0]) for i in range(len(x))) for t in model.trees] for x in texts]
+    assert np.allclose(model.code_lengths(texts), plain, rtol=1e-5)
+    assert langid.predict(odd.where("false"), model).count() == 0
+    assert langid.predict(odd, langid.train(odd.where("false"))).where("lang_pred = 'und'").count() == len(ODD)
+
+
+def test_licenses(spark, odd):
+    text = "MIT LICENCE\r\n\r\nCopyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + licenses._MIT.replace("sublicense", "sublicence")
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.license_id[1] == "MIT" and got.license_id[2] is None
+    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.where("false")).count() == 0
+
+
+def test_scores_and_hits_of_odd_rows(spark, odd):
+    got = lm.score(odd).toPandas()
+    assert len(got) == len(ODD) and got[got.doc_id == 1].logprob.isna().all() and got[got.doc_id == 4].n_words.iloc[0] == 30_000
+    assert lm.score(odd.where("false")).count() == 0
+    items = spark.createDataFrame([(1, "null id"), (2, None), (3, "word " * 12)], "item_id long, text string")
+    hits = decontaminate.contamination(odd, items).toPandas()
+    assert hits[hits.n_hit > 0].n_hit.tolist() == [30_000, 2] or sorted(hits[hits.n_hit > 0].n_hit) == [2, 30_000]
+    assert decontaminate.contamination(odd, items.where("false")).where("contaminated").isEmpty()
+    assert decontaminate.contamination(odd.where("false"), items).count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x x beta y")], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "7", ["alpha"] + ["q"] * 9 + ["beta"])], "item_key long, item_id string, w array<string>")
+    places = decontaminate.anchors(items, spark.createDataFrame([("q", 50)], "term string, df long"))
+    index = decontaminate.build_index(docs, places.select("term").distinct())
+    assert [(r.s, r.e) for r in decontaminate.proximity_matches(index, places, 5).collect()] == [(0, 3)]
+
+
+def test_pipeline(spark):
+    """Every stage against a plain version on its own input."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    known = corpus_pipeline.identify_language(spark, docs, SMALL)
+    assert known.columns == docs.columns and known.count() == docs.where("text RLIKE '\\\\p{L}'").count()
+    one = corpus_pipeline.drop_near_duplicates(spark, known, SMALL).toPandas()
+    raw = known.toPandas().sort_values("doc_id").reset_index(drop=True)
+    fp = np.array([simhash.fingerprint(t, 5) for t in raw.text], np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    comp = np.arange(len(fp))
+    for _ in range(len(fp)):
+        comp = np.array([comp[near[i]].min() for i in range(len(fp))])
+    assert sorted(one.doc_id) == sorted(raw.doc_id[np.unique(comp)])
+    clean = corpus_pipeline.drop_benchmark(spark, spark.createDataFrame(one), SMALL).toPandas()
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    grams = {tuple(w[i : i + 10]) for w in map(words, pd.read_parquet(f"{SMALL}/benchmark.parquet").text) for i in range(max(1, len(w) - 9))}
+    bad = [i for i, t in zip(one.doc_id, one.text, strict=True) if (w := words(t)) and any(tuple(w[k : k + 10]) in grams for k in range(max(1, len(w) - 9)))]
+    assert sorted(clean.doc_id) == sorted(set(one.doc_id) - set(bad))
+    masked = corpus_pipeline.mask_personal_data(spark, spark.createDataFrame(clean), SMALL)
+    assert masked.columns == docs.columns and not any(pii.base_spans(t)[0] for t in masked.toPandas().text)
+    assert corpus_pipeline.pack(spark, masked, SMALL).select("doc_id").distinct().count() == len(clean)
