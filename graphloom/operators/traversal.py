@@ -114,7 +114,9 @@ def dfs(graph: KnowledgeGraph, start_id: int, max_depth: int, max_edges: int = D
 
 def context(graph: KnowledgeGraph, entity_id: int, depth: int = 2) -> DataFrame:
     """One row ``center_entity_id, depth, context_nodes, total_nodes``: the search tree as one document."""
-    nodes = bfs(graph, entity_id, depth)
-    listed = F.sort_array(F.collect_list(F.struct(F.col("depth"), "entity_id", "parent_id", "rel_type", "weight")))
-    ordered = F.transform(listed, lambda n: F.struct(n["entity_id"].alias("entity_id"), n["depth"].alias("depth"), n["parent_id"].alias("parent_id"), n["rel_type"].alias("rel_type"), n["weight"].alias("weight")))
+    seeds = _one(graph, entity_id)
+    nodes = _levels(graph, seeds.where("false") if graph.edges.isEmpty() else seeds, depth)
+    # in queue order
+    listed = F.sort_array(F.collect_list(F.struct("depth", "key", "node", "parent", "rel_type", "weight")))
+    ordered = F.transform(listed, lambda n: F.struct(n["node"].alias("entity_id"), n["depth"].alias("depth"), n["parent"].alias("parent_id"), n["rel_type"].alias("rel_type"), n["weight"].alias("weight")))
     return nodes.agg(ordered.alias("context_nodes"), F.count("*").alias("total_nodes")).select(F.lit(entity_id).cast("long").alias("center_entity_id"), F.lit(depth).alias("depth"), "context_nodes", "total_nodes")
