@@ -14,8 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class (6), that of the smallest id; shingles of five words."""
-    return simhash.keep_one(docs, words=5)
+    """One document of each SimHash class (6), that of the smallest id; shingles of five words, similarity 0.8."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,16 @@ low 31 bits (leaving a bit out brings no two closer than they are counted):
 every point lies within the covering radius, 1, of exactly one anchor.  Each
 different fingerprint is replicated to every anchor within covering radius plus
 threshold, 1 + 1, which is 16 of 2^26; then a pair meets at the anchor of either.
-Cells are compared exactly on all 64 bits, each by itself.
+Cells are compared exactly on all bits, each by itself.
+
+A word-shingle similarity (Jaccard) of 0.8 turns about 15 of 100 bits, too many
+for 64-bit fingerprints: over many documents unrelated ones come as near.  For it
+(``size=128``) fingerprints have 128 bits and link at ``WIDE_BITS``: 19.4 bits are
+what 0.8 turns on average, the rest is one standard deviation.  Such a
+fingerprint has ``SHUFFLES`` times four blocks of 32 bits, each with anchors as
+above.  Pairs within 7 bits meet for certain, others with a chance of about 0.99
+at similarity 0.9, 0.94 at 0.85 and 0.8 at 0.8 by this alone; members of a class
+also meet through each other.
 
 Copies are one fingerprint, so a group of copies costs one comparison.  A cell
 links its members by a spanning forest, not by all pairs.  A cell over
@@ -26,59 +35,75 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.linkage import connected_components
 from graphloom.plans.shared import stage
 
-WORDS, BITS, SEED = 3, 3, 42
+WORDS, BITS, SIZE, SEED = 3, 3, 64, 42
+#: For a similarity of 0.8 on five words: largest distance of 128-bit fingerprints, and deals of their bits to blocks.
+WIDE_WORDS, WIDE_BITS, WIDE_SIZE, SHUFFLES = 5, 23, 128, 2
 #: Members of a cell that one task compares.
 CELL = 20_000
 _UPTO = 12
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of the whole text's word shingles."""
-    from xxhash import xxh64_intdigest
+def fingerprint(text: str | None, words: int = WORDS, size: int = SIZE) -> int:
+    """The SimHash of the whole text's word shingles: of 64 bits by XXH64, of 128 by XXH3-128."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return 0
-    if len(parts) <= words:
-        return xxh64_intdigest(b" ".join(parts), SEED)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())], np.uint64)  # noqa: B905
-    ones = np.zeros(64, np.int64)
+    last = ends[min(words, len(parts)) - 1 :].tolist()
+    shingles = (joined[a:b] for a, b in zip(starts.tolist(), last))  # noqa: B905
+    if size == 64:
+        hashes = np.array([xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
+    else:
+        hashes = np.frombuffer(b"".join([xxh3_128_digest(x, SEED) for x in shingles]), np.uint8).reshape(-1, 16)
+    ones = np.zeros(size, np.int64)
     for at in range(0, len(hashes), 65_536):
-        ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        ones += np.unpackbits(hashes[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text_hash, fp`` of every document; ``fp`` is the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, words: int = WORDS, size: int = SIZE) -> DataFrame:
+    """``doc_id, text_hash, fp, fp2`` of every document: the lower and the upper 64 bits (0 if ``size`` is 64) as signed bigints."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.text], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_hash": b.text_hash, "fp": fp})
+            raw = b"".join([fingerprint(t, words, size).to_bytes(16, "little") for t in b.text])
+            fp = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_hash": b.text_hash, "fp": fp[:, 0], "fp2": fp[:, 1]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long, fp2 long")
+
 
+def _blocks(fp: np.ndarray, size: int) -> list[np.ndarray]:
+    """The blocks of fingerprints ``(n, 2)``, 31 bits of each 32."""
+    if size == 64:
+        return [((fp[:, 0] >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) for half in (0, 1)]
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    deal = np.random.default_rng(SEED)
+    orders = [deal.permutation(size) for _ in range(SHUFFLES)]
+    cut = [order[k : k + 31] for order in orders for k in range(0, size, 32)]
+    return [np.ascontiguousarray(np.packbits(bits[:, c], axis=1, bitorder="little")).view("<u4")[:, 0] for c in cut]
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and anchor keys of all anchors within two bits, for both halves of each fingerprint."""
+
+def anchors(fp: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchor keys of all anchors within two bits, for all blocks of fingerprints ``(n, 2)``."""
     rows, keys = [], []
     bit = np.arange(1, 32, dtype=np.uint32)
-    for half in (0, 1):
-        x = ((fp >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    for block, x in enumerate(_blocks(fp, size)):
         syndrome = np.zeros(len(x), np.uint32)
         for i in bit:
             syndrome ^= np.where(x >> (i - 1) & 1, i, np.uint32(0)).astype(np.uint32)
-        base = np.uint64(half) << np.uint64(31)
+        base = np.uint64(block) << np.uint64(31)
         near = np.where(syndrome > 0, x ^ (np.uint32(1) << np.maximum(syndrome, 1) - 1), x).astype(np.uint32)
         rows.append(np.arange(len(x)))
         keys.append(base | near)
@@ -90,65 +115,78 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fp), 50_000):
-            part = fp[at : at + 50_000]
-            rows, keys = anchors(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["cell", "fp"])
+def _replicate(size: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+            for at in range(0, len(fp), 4000):
+                part = fp[at : at + 4000]
+                rows, keys = anchors(part.view(np.uint64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows, 0]), pa.array(part[rows, 1])], names=["cell", "fp", "fp2"])
+
+    return run
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints ``(n, 2)``."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def forest(fp: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Links that join all members within ``bits`` of each other, directly or through others."""
-    left, out, queue = fp, [], []
+    """Links (as row numbers) that join all members within ``bits`` of each other, directly or through others."""
+    left, out, queue = np.arange(len(fp)), [], []
     while len(left) or queue:
         if not queue:
             queue, left = [left[0]], left[1:]
         x = queue.pop()
-        near = np.bitwise_count(left ^ x) <= bits
+        near = _apart(fp[left], fp[x]) <= bits
         if near.any():
-            out += [(int(x), int(y)) for y in left[near]]
-            queue += list(left[near])
+            out += [(int(x), y) for y in left[near].tolist()]
+            queue += left[near].tolist()
             left = left[~near]
     return out
 
 
+_LINKS = "cell long, a long, a2 long, b long, b2 long"
+
+
 def _compare(bits: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links ``(cell null, a, b)``; members of over-full cells come back as ``(cell, fp, null)``."""
+        """Links ``(cell null, a, a2, b, b2)``; members of over-full cells come back as ``(cell, fp, fp2, null, null)``."""
 
-        def out(cell: list | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()) if cell is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=["cell", "a", "b"])
+        def out(cell: int | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            ends = [none, none] if b is None else [pa.array(b[:, k]) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([none if cell is None else pa.array([cell] * len(a), pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), *ends], names=["cell", "a", "a2", "b", "b2"])
 
         def whole(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            raw = fp.view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(starts, len(cell)))
-            a, b = [], []
+            pairs = []
             small = np.repeat(sizes <= _UPTO, sizes)
             for k in range(1, _UPTO):
                 i = np.flatnonzero((cell[k:] == cell[:-k]) & small[:-k])
                 if not len(i):
                     break
-                i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + k].view(np.uint64)) <= bits]
-                a.append(fp[i])
-                b.append(fp[i + k])
+                i = i[_apart(raw[i], raw[i + k]) <= bits]
+                pairs.append(np.stack([i, i + k], 1))
             for s, n in zip(starts[sizes > _UPTO].tolist(), sizes[sizes > _UPTO].tolist(), strict=True):
-                links = np.array(forest(fp[s : s + n].view(np.uint64), bits), np.uint64).reshape(-1, 2).view(np.int64)
-                a.append(links[:, 0])
-                b.append(links[:, 1])
-            if a and (n := sum(map(len, a))):
-                x, y = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if n else None
-                yield out(None, pairs[:, 0].copy(), pairs[:, 1].copy())
-
-        cells, fps, full = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+                pairs.append(np.array(forest(raw[s : s + n], bits), np.int64).reshape(-1, 2) + s)
+            if pairs and sum(map(len, pairs)):
+                i, j = np.concatenate(pairs).T
+                x, y = fp[i], fp[j]
+                swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+                ends = np.unique(np.where(swap[:, None], np.concatenate([y, x], 1), np.concatenate([x, y], 1)), axis=0)
+                yield out(None, ends[:, :2], ends[:, 2:])
+
+        cells, fps, full = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None
         for batch in batches:
-            c, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            c, *f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            f = np.stack(f, 1)
             if full is not None:  # the rest of a cell that is written out
                 n = int(np.searchsorted(c, full, "right"))
-                yield out([full] * n, f[:n], None)
+                yield out(full, f[:n], None)
                 c, f = c[n:], f[n:]
                 if not len(c):
                     continue
@@ -157,7 +195,7 @@ def _compare(bits: int, most: int):  # noqa: ANN202
             last = int(np.searchsorted(cells, cells[-1], "left"))
             if len(cells) - last > most:
                 full = int(cells[-1])
-                yield out([full] * (len(cells) - last), fps[last:], None)
+                yield out(full, fps[last:], None)
                 yield from whole(cells[:last], fps[:last]) if last else ()
                 cells, fps = cells[:0], fps[:0]
             elif last > 200_000:
@@ -169,44 +207,54 @@ def _compare(bits: int, most: int):  # noqa: ANN202
     return run
 
 
-def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
-    """``(a, b)``: links whose components are those of all pairs of different fingerprints within ``bits`` bits."""
-    if bits > 3:
+def _node(size: int, fp: str = "fp", fp2: str = "fp2") -> Column:
+    """One number per fingerprint."""
+    return F.col(fp) if size == 64 else F.xxhash64(fp, fp2)
+
+
+def links(fps: DataFrame, bits: int = BITS, cell: int = CELL, size: int = SIZE) -> DataFrame:
+    """``(a, b)``: links of numbered fingerprints; of 64-bit ones their components are those of all pairs within ``bits`` bits."""
+    if size == 64 and bits > 3:
         raise ValueError("two halves with anchors at one bit cover thresholds up to 3")
-    cells = fps.select("fp").distinct().mapInArrow(_replicate, "cell long, fp long")
-    compare = lambda df, most: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits, most), "cell long, a long, b long")
+    upper = F.col("fp2") if "fp2" in fps.columns else F.lit(0).cast("long").alias("fp2")
+    cells = fps.select("fp", upper).distinct().mapInArrow(_replicate(size), "cell long, fp long, fp2 long")
+    compare = lambda df, most: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits, most), _LINKS)
     found = stage(compare(cells, cell), "simhash-links")
     over = found.where("cell IS NOT NULL")
-    done = found.where("cell IS NULL").select("a", "b")
+    done = found.where("cell IS NULL").select("a", "a2", "b", "b2")
     sizes = over.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell // 2)).alias("k"))
     if not sizes.isEmpty():
         # a member of block s meets block j in the cell (s, j)
-        salt = F.pmod(F.xxhash64("a"), F.col("k"))
+        salt = F.pmod(F.xxhash64("a", "a2"), F.col("k"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("fp"), salt.alias("s"), other.alias("j"))
-        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "fp")
-        done = done.unionByName(compare(rows, 2**31).select("a", "b"))
-    return done
+        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("fp"), F.col("a2").alias("fp2"), salt.alias("s"), other.alias("j"))
+        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "fp", "fp2")
+        done = done.unionByName(compare(rows, 2**31).select("a", "a2", "b", "b2"))
+    return done.select(_node(size, "a", "a2").alias("a"), _node(size, "b", "b2").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, size: int = SIZE) -> DataFrame:
     """``doc_id, text_hash, fingerprint, component_id``: one row per document with its class."""
-    fps = stage(fingerprints(docs, words), "fingerprints")
-    of = connected_components(links(fps, bits)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
-    different = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+    fps = stage(fingerprints(docs, words, size), "fingerprints").withColumn("node", _node(size))
+    of = connected_components(links(fps, bits, size=size)).select("node", F.col("component").alias("class"))
+    different = fps.groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
     different = stage(different, "fingerprint-classes")
     least = different.groupBy("class").agg(F.min("least").alias("component_id"))
-    classes = different.join(least, "class").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = different.join(least, "class").select("node", "component_id")
+    written = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in (["fp"] if size == 64 else ["fp2", "fp"])))
+    return fps.join(classes, "node").select("doc_id", "text_hash", written.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id."""
-    kept = near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+def keep_one(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, size: int = WIDE_SIZE) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest id; by default of a similarity of 0.8 on five words."""
+    kept = near_duplicates(docs, words, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stage(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n")), "kept")
     rows = docs.withColumn("__t", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__t"]).drop("__t")
+    out = rows.join(kept, same, "left_semi")
+    if not kept.where("__n > 1").isEmpty():  # only then texts are shuffled once more, to keep one of the repeated rows
+        out = out.dropDuplicates(["doc_id", "__t"])
+    return out.drop("__t")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
