@@ -162,7 +162,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each whole text."""
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        lettered = np.array([bool(t) and bool(_LETTER.search(t)) for t in texts], bool)
+        lettered = np.array([any(m[0].isalpha() for m in _LETTER.finditer(t or "")) for t in texts], bool)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         bits = self.code_lengths(raw)

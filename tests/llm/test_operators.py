@@ -93,6 +93,11 @@ def test_pii(spark, odd):
     assert pii.redact(odd).count() == len(ODD) and pii.detect(odd.where("false")).count() == 0
     assert pii.masked("to a@b.co!", frozenset()) == "to [EMAIL]!"
     random.seed(2)
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(random.choice("129...a") for _ in range(30))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+    assert pii.base_spans("7" * 1_000_000) == ([], [])
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for _ in range(3000):
         t = "".join(random.choice("a1.@+- _") for _ in range(25))
@@ -146,6 +151,7 @@ def test_language(spark, odd):
     model = langid.train(docs)
     got = langid.predict(odd, model).toPandas()
     assert got[got.doc_id.isin([1, 2, 5])].lang_pred.eq("und").all() and len(got) == len(ODD)
+    assert model.predict(["\u00bd \u00b2", "\u00bdx"])[0][0] == "und" != model.predict(["\u00bdx"])[0][0]
     texts = [b"the and of", b"", b"el la de los"]
     plain = [[sum(float(t.bits(langid._windows(np.frombuffer(langid._PAD + x, np.uint8))[i : i + 1])[0]) for i in range(len(x))) for t in model.trees] for x in texts]
     assert np.allclose(model.code_lengths(texts), plain, rtol=1e-5)
