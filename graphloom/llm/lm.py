@@ -1,19 +1,27 @@
 """Stupid-backoff scores, relationally.
 
 Words are those of the decontamination operator (A-Z lower-cased).  The model is
-of order two over a vocabulary of the ``VOCABULARY`` most frequent words (ties
-by word; words over 64 bytes never enter); all others are one word, ``<unk>``.
-With corpus counts c and N words in all, a document scores the sum of ln S:
+of order two over all words and all pairs of neighbours of all documents.  With
+corpus counts c and N words in all, a document scores the sum of ln S:
 
     S(first word)  = c(w) / N
     S(w after v)   = c(v w) / c(v)      if c(v w) >= MIN_COUNT
                    = ALPHA * c(w) / N   otherwise
 
-Counts cover all documents.  Pairs of two of the ``HOT`` most frequent words are
-counted with partial aggregation and their table is broadcast (HOT^2 rows at
-most).  All other pairs are shuffled once by pair: the count table and the
-exploded pairs meet in the same hash partition, and no group there can hold more
-than one in ``HOT`` of all rows.  Sums leave that stage partially aggregated.
+Counts are exact for every word.  The ``CODED`` most frequent ones are broadcast
+with rank and count (words over 64 bytes by their SHA-256, so the size is bounded);
+a rarer word holds at most one in ``CODED`` of all tokens, so its rows fit a task.
+
+* Pairs of two of the ``HOT`` most frequent words are counted with partial
+  aggregation and their table is broadcast (HOT^2 rows at most).
+* All others are shuffled once.  Two coded words meet by pair.  A rarer second
+  word's rows meet by that word, which counts the word and its pairs in one
+  partition; a rarer first word's rows meet by the first word likewise (with a row
+  for the end of a document, as every occurrence must be counted).  A pair of two
+  rarer words is in both places: where it is seen the first word's place scores it,
+  else the second's.
+
+Sums leave that stage partially aggregated.
 
 Null text has no words: zero counts and a null score.  Rows are scored by row,
 so repeated rows or null ids keep their own; an empty table gives no rows; extra
@@ -30,51 +38,82 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import words
 from graphloom.plans.shared import stage
 
-VOCABULARY, HOT, MIN_COUNT, ALPHA = 65_536, 512, 2, 0.4
-UNK = -1
+CODED, HOT, MIN_COUNT, ALPHA = 65_536, 512, 2, 0.4
+LONG = 64
+#: In place of a rank: the place before the first word, the place after the last.
+START, END = -2, -3
+#: In place of a pair's key: rows that meet by a rarer first, or second, word.
+FIRST, SECOND = -1, -2
+
 
+def _tokens(text: str):  # noqa: ANN202
+    """Words of a text, those over ``LONG`` bytes by digest (words hold no ``#``)."""
+    return F.transform(words(text), lambda w: F.when(F.octet_length(w) > LONG, F.concat(F.lit("#"), F.sha2(w, 256))).otherwise(w))
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[DataFrame, int]:
-    """``word, id, c`` of the most frequent words, a bounded table, and the number of words in all."""
-    counts = stage(docs.select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
-    top = stage(counts.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(size), "lm-top")
-    # `top` is at most `size` rows
+
+def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
+    """``word, id, c`` of the ``coded`` most frequent words (ties by word), a bounded table, and the number of words in all."""
+    counts = stage(docs.select(F.explode(_tokens("text")).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
+    # `top` is at most `coded` rows
+    top = stage(counts.orderBy(F.desc("c"), "word").limit(coded), "lm-top")
     known = top.select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("id"), "c")
     return stage(known, "lm-vocabulary"), counts.agg(F.sum("c")).head()[0] or 0
 
 
-def score(docs: DataFrame, size: int = VOCABULARY, hot: int = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
-    """``doc_id, n_words, n_backoff, logprob`` per row of ``docs``."""
-    spark = docs.sparkSession
-    known, total = vocabulary(docs, size)
-    by_word = F.broadcast(known.select("word", "id"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
-    # pairs of neighbours; the first word's has no word before it
-    n = F.size("w")
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.greatest(n - 1, F.lit(0)))).alias("v"), F.col("w").alias("w"))
-    exploded = rows.where(n > 0).select("row", F.explode(pairs).alias("p")).select("row", F.col("p.v").alias("v"), F.col("p.w").alias("word"))
-    coded = exploded.join(by_word, "word", "left").select("row", "v", F.coalesce("id", F.lit(UNK)).alias("b"))
-    other = F.broadcast(known.select(F.col("word").alias("v"), F.col("id").alias("ida")))
-    coded = coded.join(other, "v", "left").select("row", F.when(F.col("v").isNull(), F.lit(-2)).otherwise(F.coalesce("ida", F.lit(UNK))).alias("a"), "b")
-    # ids are ranks: below `hot` are the most frequent words; the unknown word and the start are hot too
-    frequent = (F.col("a") < hot) & (F.col("b") < hot)
-    often = stage(coded.where(frequent), "lm-hot")
+def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
+    """``doc_id, n_words, n_backoff, logprob`` per row of ``docs``; ``coded`` and ``hot`` do not change results."""
+    known, total = vocabulary(docs, coded)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _tokens("text").alias("w"))
+    # pairs of neighbours; the first word's has no word before it, the last one's none after it
+    none = F.array(F.lit(None).cast("string"))
+    pairs = F.arrays_zip(F.concat(none, "w").alias("v"), F.concat("w", none).alias("w"))
+    exploded = rows.where(F.size("w") > 0).select("row", F.explode(pairs).alias("p")).select("row", F.col("p.v").alias("v"), F.col("p.w").alias("w"))
+    place = lambda word, id_, edge: F.when(F.col(word).isNull(), F.lit(edge)).otherwise(F.col(id_))
+    for word, id_ in (("w", "b"), ("v", "a")):
+        exploded = exploded.join(F.broadcast(known.select(F.col("word").alias(word), F.col("id").alias(id_))), word, "left")
+    pairs = exploded.select("row", "v", "w", place("v", "a", START).alias("a"), place("w", "b", END).alias("b"))
+    # ids are ranks: below `hot` are the most frequent words; the start is hot too; a null id is that of a rarer word
+    frequent = (F.col("a") < hot) & (F.col("b") < hot) & (F.col("b") != END)
+    often = stage(pairs.where(frequent).select("row", "a", "b"), "lm-hot")
     table = stage(often.groupBy("a", "b").agg(F.count("*").alias("c2")), "lm-hot-pairs")
     mine = often.join(F.broadcast(table), ["a", "b"])
-    rest = coded.where(~frequent).withColumn("c2", F.count("*").over(Window.partitionBy("a", "b")))
-    # N words; those outside the vocabulary are all <unk>
-    in_words = known.agg(F.sum("c")).head()[0] or 0
-    of = known.select("id", "c").unionByName(spark.createDataFrame([(UNK, int(total - in_words))], "id int, c long"))
-    after = F.broadcast(of.select(F.col("id").alias("a"), F.col("c").alias("ca")))
-    single = F.broadcast(of.select(F.col("id").alias("b"), F.col("c").alias("c1")))
+    after = F.broadcast(known.select(F.col("id").alias("a"), F.col("c").alias("ca")))
+    single = F.broadcast(known.select(F.col("id").alias("b"), F.col("c").alias("c1")))
 
     def summed(part: DataFrame) -> DataFrame:
-        part = part.join(after, "a", "left").join(single, "b", "left")
-        seen = (F.col("a") != -2) & (F.col("c2") >= min_count)
+        seen = (F.col("a") != START) & (F.col("c2") >= min_count)
         p1 = F.log(F.col("c1") / F.lit(float(max(total, 1))))
-        ln = F.when(F.col("a") == -2, p1).when(seen, F.log(F.col("c2") / F.col("ca"))).otherwise(F.lit(math.log(alpha)) + p1)
-        return part.groupBy("row").agg(F.sum(ln).alias("ln"), F.sum(((F.col("a") != -2) & ~seen).cast("long")).alias("backoff"), F.count("*").alias("n"))
-
+        ln = F.when(F.col("a") == START, p1).when(seen, F.log(F.col("c2") / F.col("ca"))).otherwise(F.lit(math.log(alpha)) + p1)
+        backoff = ((F.col("a") != START) & ~seen).cast("long")
+        return part.groupBy("row").agg(F.sum(ln).alias("ln"), F.sum(backoff).alias("backoff"), F.count("*").alias("n"))
+
+    # the other pairs, each where its words are counted
+    null = F.lit(None).cast("string")
+    other = lambda word, id_: F.coalesce(F.concat(F.lit("#"), F.col(id_).cast("string")), F.col(word))
+    at = lambda key, word, o: F.struct(key.cast("long").alias("key"), word.alias("word"), o.alias("other"))
+    both = F.array(at(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"), null, null))
+    first, second = at(F.lit(FIRST), F.col("v"), other("w", "b")), at(F.lit(SECOND), F.col("w"), other("v", "a"))
+    places = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both).when(F.col("b").isNotNull(), F.array(first)).when(F.col("a").isNotNull(), F.array(second)).otherwise(F.array(first, second))
+    rest = pairs.where(~F.coalesce(frequent, F.lit(False)) & (F.col("a").isNull() | (F.coalesce("b", F.lit(0)) != END)))
+    rest = rest.select("row", F.explode(places).alias("m")).select("row", "m.*").repartition("key", "word").sortWithinPartitions("key", "word", "other")
+    rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("key", "word"))).withColumn("c2", F.count("*").over(Window.partitionBy("key", "word", "other")))
+    coded_pair, by_first = F.col("word").isNull(), F.col("key") == FIRST
+    rank = F.when(F.col("other").startswith("#") & (F.octet_length("other") < LONG), F.substring("other", 2, 10).cast("int"))
+    rest = rest.select("row", "key", "word", "c", "c2", F.when(coded_pair, F.shiftright("key", 32).cast("int")).otherwise(rank).alias("x"))
+    # a pair of two rarer words scores in one of its places; a document's end scores in none
+    seen = F.col("c2") >= min_count
+    rest = rest.where(coded_pair | F.when(by_first, (F.coalesce("x", F.lit(0)) != END) & (seen | F.col("x").isNotNull())).otherwise(~seen | F.col("x").isNotNull()))
+    rest = rest.select(
+        "row",
+        "c2",
+        F.when(~coded_pair & by_first, F.col("c")).alias("cv"),
+        F.when(~coded_pair & ~by_first, F.col("c")).alias("cw"),
+        F.when(coded_pair | ~by_first, F.col("x")).alias("a"),
+        F.when(coded_pair, F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).when(by_first, F.col("x")).alias("b"),
+    )
+    rest = rest.join(after, "a", "left").join(single, "b", "left")
+    rest = rest.select("row", F.coalesce("a", F.lit(0)).alias("a"), "c2", F.coalesce("ca", "cv").alias("ca"), F.coalesce("c1", "cw").alias("c1"))
+    mine = mine.join(after, "a", "left").join(single, "b", "left")
     sums = summed(mine).unionByName(summed(rest)).groupBy("row").agg(F.sum("ln").alias("ln"), F.sum("backoff").alias("n_backoff"), F.sum("n").alias("n_words"))
     out = rows.select("row", "doc_id").join(sums, "row", "left")
     return out.select("doc_id", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("n_backoff", F.lit(0).cast("long")).alias("n_backoff"), F.round("ln", 4).alias("logprob"))
@@ -89,8 +128,7 @@ OP9_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
-k AS (SELECT word FROM t WHERE strlen(word) <= 64 GROUP BY word ORDER BY count(*) DESC, word LIMIT 65536),
-x AS MATERIALIZED (SELECT r, i, CASE WHEN k.word IS NULL THEN '<unk>' ELSE t.word END AS b FROM t LEFT JOIN k USING (word)),
+x AS MATERIALIZED (SELECT r, i, word AS b FROM t),
 p AS MATERIALIZED (SELECT r, i, lag(b) OVER (PARTITION BY r ORDER BY i) AS a, b FROM x),
 c1 AS (SELECT b, count(*) AS c FROM x GROUP BY b),
 c2 AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b),

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.functions import lit
 
 import corpus_pipeline
 from graphloom.llm import chat, decontaminate, embeddings, entries, langid, licenses, lm, packing, pii, simhash, token_files
@@ -170,6 +171,10 @@ def test_scores_and_hits_of_odd_rows(spark, odd):
     got = lm.score(odd).toPandas()
     assert len(got) == len(ODD) and got[got.doc_id == 1].logprob.isna().all() and got[got.doc_id == 4].n_words.iloc[0] == 30_000
     assert lm.score(odd.where("false")).count() == 0
+    # how many words are coded or hot changes no score; a frequent word may be very long
+    repeated = odd.unionByName(odd.withColumn("text", lit("é " + "long" * 50 + " word é " + "long" * 50)))
+    scores = [sorted(map(tuple, lm.score(repeated, coded, hot).na.fill(-1).collect()), key=str) for coded, hot in ((65_536, 512), (3, 1), (0, 0))]
+    assert scores[0] == scores[1] == scores[2]
     items = spark.createDataFrame([(1, "null id"), (2, None), (3, "word " * 12)], "item_id long, text string")
     hits = decontaminate.contamination(odd, items).toPandas()
     assert hits[hits.n_hit > 0].n_hit.tolist() == [30_000, 2] or sorted(hits[hits.n_hit > 0].n_hit) == [2, 30_000]
