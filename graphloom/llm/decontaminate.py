@@ -38,7 +38,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words(text: str | Column) -> Column:
     """Words of a text, A-Z lower-cased; a null text has none."""
     split = F.split(F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), _UPPER, _LOWER), SEPARATORS)
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(split, "")
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:

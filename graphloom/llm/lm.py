@@ -32,28 +32,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import words
 from graphloom.plans.shared import stage
 
-CODED, HOT, MIN_COUNT, ALPHA = 65_536, 512, 2, 0.4
+CODED, HOT, MIN_COUNT, ALPHA = 262_144, 512, 2, 0.4
 LONG = 64
 #: In place of a rank: the place before the first word, the place after the last.
 START, END = -2, -3
-#: In place of a pair's key: rows that meet by a rarer first, or second, word.
-FIRST, SECOND = -1, -2
+#: Keys of rows that meet by a rarer first, or second, word: these and a hash below them, above all keys of pairs.
+FIRST, SECOND, HASH = 1 << 62, 3 << 61, (1 << 61) - 1
 
 
-def _tokens(text: str):  # noqa: ANN202
-    """Words of a text, those over ``LONG`` bytes by digest (words hold no ``#``)."""
-    return F.transform(words(text), lambda w: F.when(F.octet_length(w) > LONG, F.concat(F.lit("#"), F.sha2(w, 256))).otherwise(w))
+def _short(word: str | Column) -> Column:
+    """A word, or its digest if it is over ``LONG`` bytes (words hold no ``#``)."""
+    return F.when(F.octet_length(word) > LONG, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(F.col(word) if isinstance(word, str) else word)
 
 
 def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
     """``word, id, c`` of the ``coded`` most frequent words (ties by word), a bounded table, and the number of words in all."""
-    counts = stage(docs.select(F.explode(_tokens("text")).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
+    counts = stage(docs.select(F.explode(words("text")).alias("word")).select(_short("word").alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
     # `top` is at most `coded` rows
     top = stage(counts.orderBy(F.desc("c"), "word").limit(coded), "lm-top")
     known = top.select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("id"), "c")
@@ -63,11 +63,11 @@ def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
 def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
     """``doc_id, n_words, n_backoff, logprob`` per row of ``docs``; ``coded`` and ``hot`` do not change results."""
     known, total = vocabulary(docs, coded)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _tokens("text").alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
     # pairs of neighbours; the first word's has no word before it, the last one's none after it
     none = F.array(F.lit(None).cast("string"))
     pairs = F.arrays_zip(F.concat(none, "w").alias("v"), F.concat("w", none).alias("w"))
-    exploded = rows.where(F.size("w") > 0).select("row", F.explode(pairs).alias("p")).select("row", F.col("p.v").alias("v"), F.col("p.w").alias("w"))
+    exploded = rows.where(F.size("w") > 0).select("row", F.explode(pairs).alias("p")).select("row", _short(F.col("p.v")).alias("v"), _short(F.col("p.w")).alias("w"))
     place = lambda word, id_, edge: F.when(F.col(word).isNull(), F.lit(edge)).otherwise(F.col(id_))
     for word, id_ in (("w", "b"), ("v", "a")):
         exploded = exploded.join(F.broadcast(known.select(F.col("word").alias(word), F.col("id").alias(id_))), word, "left")
@@ -88,16 +88,22 @@ def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int =
         return part.groupBy("row").agg(F.sum(ln).alias("ln"), F.sum(backoff).alias("backoff"), F.count("*").alias("n"))
 
     # the other pairs, each where its words are counted
-    null = F.lit(None).cast("string")
+    known_a, known_b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    rest = pairs.where(~F.coalesce(frequent, F.lit(False)) & (~known_a | (F.coalesce("b", F.lit(0)) != END)))
+    two = F.when(known_a | known_b, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    rest = rest.select("row", "v", "w", "a", "b", F.explode(two).alias("again"))
     other = lambda word, id_: F.coalesce(F.concat(F.lit("#"), F.col(id_).cast("string")), F.col(word))
-    at = lambda key, word, o: F.struct(key.cast("long").alias("key"), word.alias("word"), o.alias("other"))
-    both = F.array(at(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"), null, null))
-    first, second = at(F.lit(FIRST), F.col("v"), other("w", "b")), at(F.lit(SECOND), F.col("w"), other("v", "a"))
-    places = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both).when(F.col("b").isNotNull(), F.array(first)).when(F.col("a").isNotNull(), F.array(second)).otherwise(F.array(first, second))
-    rest = pairs.where(~F.coalesce(frequent, F.lit(False)) & (F.col("a").isNull() | (F.coalesce("b", F.lit(0)) != END)))
-    rest = rest.select("row", F.explode(places).alias("m")).select("row", "m.*").repartition("key", "word").sortWithinPartitions("key", "word", "other")
+    hashed = lambda role, word: F.lit(role).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(HASH)))
+    pair, first = known_a & known_b, ~known_a & (known_b | ~F.col("again"))
+    rest = rest.select(
+        "row",
+        F.when(pair, F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).when(first, hashed(FIRST, "v")).otherwise(hashed(SECOND, "w")).alias("key"),
+        F.when(first, F.col("v")).when(~pair, F.col("w")).alias("word"),
+        F.when(first, other("w", "b")).when(~pair, other("v", "a")).alias("other"),
+    )
+    rest = rest.repartition("key", "word").sortWithinPartitions("key", "word", "other")
     rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("key", "word"))).withColumn("c2", F.count("*").over(Window.partitionBy("key", "word", "other")))
-    coded_pair, by_first = F.col("word").isNull(), F.col("key") == FIRST
+    coded_pair, by_first = F.col("word").isNull(), F.col("key") < SECOND
     rank = F.when(F.col("other").startswith("#") & (F.octet_length("other") < LONG), F.substring("other", 2, 10).cast("int"))
     rest = rest.select("row", "key", "word", "c", "c2", F.when(coded_pair, F.shiftright("key", 32).cast("int")).otherwise(rank).alias("x"))
     # a pair of two rarer words scores in one of its places; a document's end scores in none
