@@ -69,12 +69,14 @@ def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int =
     pairs = F.arrays_zip(F.concat(none, "w").alias("v"), F.concat("w", none).alias("w"))
     exploded = rows.where(F.size("w") > 0).select("row", F.explode(pairs).alias("p")).select("row", _short(F.col("p.v")).alias("v"), _short(F.col("p.w")).alias("w"))
     place = lambda word, id_, edge: F.when(F.col(word).isNull(), F.lit(edge)).otherwise(F.col(id_))
-    for word, id_ in (("w", "b"), ("v", "a")):
-        exploded = exploded.join(F.broadcast(known.select(F.col("word").alias(word), F.col("id").alias(id_))), word, "left")
-    pairs = exploded.select("row", "v", "w", place("v", "a", START).alias("a"), place("w", "b", END).alias("b"))
+    ranks = lambda word, id_: known.select(F.col("word").alias(word), F.col("id").alias(id_))
+    pairs = exploded.join(F.broadcast(ranks("w", "b")), "w", "left").join(F.broadcast(ranks("v", "a")), "v", "left")
+    pairs = pairs.select("row", "v", "w", place("v", "a", START).alias("a"), place("w", "b", END).alias("b"))
     # ids are ranks: below `hot` are the most frequent words; the start is hot too; a null id is that of a rarer word
     frequent = (F.col("a") < hot) & (F.col("b") < hot) & (F.col("b") != END)
-    often = stage(pairs.where(frequent).select("row", "a", "b"), "lm-hot")
+    often = exploded.join(F.broadcast(ranks("w", "b").where(F.col("b") < hot)), "w").join(F.broadcast(ranks("v", "a").where(F.col("a") < hot)), "v", "left")
+    often = often.where("a IS NOT NULL OR v IS NULL").select("row", place("v", "a", START).alias("a"), "b")
+    often = stage(often, "lm-hot")
     table = stage(often.groupBy("a", "b").agg(F.count("*").alias("c2")), "lm-hot-pairs")
     mine = often.join(F.broadcast(table), ["a", "b"])
     after = F.broadcast(known.select(F.col("id").alias("a"), F.col("c").alias("ca")))
