@@ -35,9 +35,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def lowered(c: Column) -> Column:
+    """A-Z lower-cased, and nothing else; ASCII takes the short way."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
+
+
 def words(text: str | Column) -> Column:
     """Words of a text, A-Z lower-cased; a null text has none."""
-    split = F.split(F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), _UPPER, _LOWER), SEPARATORS)
+    split = F.split(lowered(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), SEPARATORS)
     return F.array_remove(split, "")
 
 

@@ -35,25 +35,33 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.decontaminate import words
+from graphloom.llm.decontaminate import lowered
 from graphloom.plans.shared import stage
 
 CODED, HOT, MIN_COUNT, ALPHA = 262_144, 512, 2, 0.4
 LONG = 64
+#: Fixed value: what separates words of a text whose A-Z are not lower-cased yet.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: In place of a rank: the place before the first word, the place after the last.
 START, END = -2, -3
 #: Keys of rows that meet by a rarer first, or second, word: these and a hash below them, above all keys of pairs.
 FIRST, SECOND, HASH = 1 << 62, 3 << 61, (1 << 61) - 1
 
 
+def _words(text: str) -> Column:
+    """Words of a text before lower-casing; a null text has none."""
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS), "")
+
+
 def _short(word: str | Column) -> Column:
-    """A word, or its digest if it is over ``LONG`` bytes (words hold no ``#``)."""
-    return F.when(F.octet_length(word) > LONG, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(F.col(word) if isinstance(word, str) else word)
+    """A word lower-cased, or its digest if it is over ``LONG`` bytes (words hold no ``#``)."""
+    word = lowered(F.col(word) if isinstance(word, str) else word)
+    return F.when(F.octet_length(word) > LONG, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(word)
 
 
 def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
     """``word, id, c`` of the ``coded`` most frequent words (ties by word), a bounded table, and the number of words in all."""
-    counts = stage(docs.select(F.explode(words("text")).alias("word")).select(_short("word").alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
+    counts = stage(docs.select(F.explode(_words("text")).alias("word")).select(_short("word").alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-counts")
     # `top` is at most `coded` rows
     top = stage(counts.orderBy(F.desc("c"), "word").limit(coded), "lm-top")
     known = top.select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("id"), "c")
@@ -63,7 +71,7 @@ def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
 def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
     """``doc_id, n_words, n_backoff, logprob`` per row of ``docs``; ``coded`` and ``hot`` do not change results."""
     known, total = vocabulary(docs, coded)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("w"))
     # pairs of neighbours; the first word's has no word before it, the last one's none after it
     none = F.array(F.lit(None).cast("string"))
     pairs = F.arrays_zip(F.concat(none, "w").alias("v"), F.concat("w", none).alias("w"))
