@@ -82,7 +82,8 @@ def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int =
     pairs = pairs.select("row", "v", "w", place("v", "a", START).alias("a"), place("w", "b", END).alias("b"))
     # ids are ranks: below `hot` are the most frequent words; the start is hot too; a null id is that of a rarer word
     frequent = (F.col("a") < hot) & (F.col("b") < hot) & (F.col("b") != END)
-    often = exploded.join(F.broadcast(ranks("w", "b").where(F.col("b") < hot)), "w").join(F.broadcast(ranks("v", "a").where(F.col("a") < hot)), "v", "left")
+    # never null, so that no filter lower-cases the words once more (there is no empty word)
+    often = exploded.withColumn("w", F.coalesce("w", F.lit(""))).join(F.broadcast(ranks("w", "b").where(F.col("b") < hot)), "w").join(F.broadcast(ranks("v", "a").where(F.col("a") < hot)), "v", "left")
     often = often.where("a IS NOT NULL OR v IS NULL").select("row", place("v", "a", START).alias("a"), "b")
     often = stage(often, "lm-hot")
     table = stage(often.groupBy("a", "b").agg(F.count("*").alias("c2")), "lm-hot-pairs")
