@@ -13,9 +13,12 @@ for 64-bit fingerprints: over many documents unrelated ones come as near.  For i
 (``size=128``) fingerprints have 128 bits and link at ``WIDE_BITS``: 19.4 bits are
 what 0.8 turns on average, the rest is one standard deviation.  Such a
 fingerprint has ``SHUFFLES`` times four blocks of 32 bits, each with anchors as
-above.  Pairs within 7 bits meet for certain, others with a chance of about 0.99
-at similarity 0.9, 0.94 at 0.85 and 0.8 at 0.8 by this alone; members of a class
-also meet through each other.
+above.  That alone is a matter of chance, so ``keep_one`` adds an exact way: in one
+order of all shingles, two sets of a similarity of 0.8 share one of the first
+``n - ceil(0.8 n) + 1`` shingles of each.  Sets that share such a shingle are
+compared as whole sets (of 64-bit shingle hashes) unless fingerprints have joined
+them already.  Shingles that are frequent in a sample come last in the order; this
+changes the work, not the result.
 
 Copies are one fingerprint, so a group of copies costs one comparison.  A cell
 links its members by a spanning forest, not by all pairs.  A cell over
@@ -44,33 +47,48 @@ from graphloom.plans.shared import stage
 WORDS, BITS, SIZE, SEED = 3, 3, 64, 42
 #: For a similarity of 0.8 on five words: largest distance of 128-bit fingerprints, and deals of their bits to blocks.
 WIDE_WORDS, WIDE_BITS, WIDE_SIZE, SHUFFLES = 5, 23, 128, 2
+#: The similarity of ``keep_one``, as a fraction; documents sampled for the order of shingles, and frequent shingles listed at most.
+ALIKE = (4, 5)
+SAMPLE, FREQUENT = 4000, 100_000
 #: Members of a cell that one task compares.
 CELL = 20_000
 _UPTO = 12
 
 
-def fingerprint(text: str | None, words: int = WORDS, size: int = SIZE) -> int:
-    """The SimHash of the whole text's word shingles: of 64 bits by XXH64, of 128 by XXH3-128."""
+def _hashes(text: str | None, words: int, size: int) -> np.ndarray:
+    """Hashes of the whole text's word shingles as bytes ``(n, size / 8)``: 64 bits by XXH64, 128 by XXH3-128."""
     from xxhash import xxh3_128_digest, xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros((0, size // 8), np.uint8)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[min(words, len(parts)) - 1 :].tolist()
     shingles = (joined[a:b] for a, b in zip(starts.tolist(), last))  # noqa: B905
     if size == 64:
-        hashes = np.array([xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
-    else:
-        hashes = np.frombuffer(b"".join([xxh3_128_digest(x, SEED) for x in shingles]), np.uint8).reshape(-1, 16)
+        return np.array([xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([xxh3_128_digest(x, SEED) for x in shingles]), np.uint8).reshape(-1, 16)
+
+
+def _majority(hashes: np.ndarray, size: int) -> int:
     ones = np.zeros(size, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = WORDS, size: int = SIZE) -> int:
+    """The SimHash of the whole text's word shingles: of 64 bits by XXH64, of 128 by XXH3-128."""
+    return _majority(_hashes(text, words, size), size)
+
+
+def _different(hashes: np.ndarray) -> np.ndarray:
+    """The set of shingles: their different hashes in order, by 64 bits."""
+    return np.unique(np.ascontiguousarray(hashes[:, :8]).view("<i8")[:, 0])
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, size: int = SIZE) -> DataFrame:
     """``doc_id, text_hash, fp, fp2`` of every document: the lower and the upper 64 bits (0 if ``size`` is 64) as signed bigints."""
 
@@ -245,9 +263,102 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, size:
     return fps.join(classes, "node").select("doc_id", "text_hash", written.alias("fingerprint"), "component_id")
 
 
+def _frequent(docs: DataFrame, words: int, size: int) -> np.ndarray:
+    """Shingles of at least five sampled documents, most frequent first if there are too many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b.text:
+                yield pd.DataFrame({"s": _different(_hashes(t, words, size))})
+
+    share = max(docs.count() // SAMPLE, 1)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    found = some.mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 5")
+    return np.sort(np.array([r["s"] for r in found.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()], np.int64))
+
+
+def _described(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """``doc_id, text_hash, fp, fp2, node, prefix``: fingerprint, number of the shingle set and the set's first shingles."""
+    frequent, (num, den) = _frequent(docs, words, size), ALIKE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            raw, nodes, prefixes = [], [], []
+            for t in b.text:
+                hashes = _hashes(t, words, size)
+                raw.append(_majority(hashes, size).to_bytes(16, "little"))
+                u = _different(hashes)
+                nodes.append(xxh3_64_intdigest(u.tobytes(), SEED))
+                last = np.isin(u, frequent)
+                prefixes.append(np.concatenate([u[~last], u[last]])[: len(u) - -(-num * len(u) // den) + 1])
+            fp = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_hash": b.text_hash, "fp": fp[:, 0], "fp2": fp[:, 1], "node": np.array(nodes, np.uint64).view(np.int64), "prefix": prefixes})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return stage(rows.mapInPandas(run, "doc_id long, text_hash long, fp long, fp2 long, node long, prefix array<long>"), "fingerprints")
+
+
+def _sets(docs: DataFrame, of: DataFrame, words: int, size: int) -> DataFrame:
+    """``node, w``: the whole shingle sets of ``of`` (``node, id, h``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                yield pd.DataFrame({"node": part.node, "w": [_different(_hashes(t, words, size)) for t in part.text]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    met = rows.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
+    return stage(met.select("node", "text").dropDuplicates(["node"]).mapInPandas(run, "node long, w array<long>"), "shingle-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of sets whose exact similarity is at least ``ALIKE``."""
+    num, den = ALIKE
+    x, y = (sets.select(F.col("node").alias(k), F.col("w").alias(f"w{k}")) for k in "ab")
+    met = pairs.join(x, "a").join(y, "b").withColumn("o", F.size(F.array_intersect("wa", "wb")))
+    return met.where(F.col("o") * (den + num) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, size: int = WIDE_SIZE) -> DataFrame:
+    """``doc_id, text_hash, component_id``: one row per document with its class of similar documents."""
+    fps = _described(docs, words, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "fp", "fp2"))
+    nodes = stage(fps.groupBy("node").agg(first.alias("m")).select("node", "m.id", "m.h", "m.fp", "m.fp2"), "shingle-nodes")
+    # sets that share a first shingle; all others have no similar one
+    met = fps.select("node", F.explode("prefix").alias("s")).groupBy("s").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
+    cells = stage(met.select("s", F.explode("nodes").alias("node")), "shingle-cells")
+    shared = nodes.join(cells.select("node").distinct(), "node", "left_semi")
+    sets = _sets(docs, shared.select("node", "id", "h"), words, size)
+    same = nodes.withColumn("f", _node(size))
+    heads = same.groupBy("f").agg(F.min("node").alias("head"))
+    ends = [heads.select(F.col("f").alias(k), F.col("head").alias(f"h{k}")) for k in "ab"]
+    found = links(nodes, bits, size=size).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    found = found.unionByName(same.join(heads, "f").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    found = stage(found, "fingerprint-pairs")
+    of = connected_components(found).select("node", "component")
+    # of the rest, every two sets of a cell that are not joined yet
+    size_ = sets.select("node", F.size("w").alias("n"))
+    members = stage(cells.join(size_, "node").join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shingle-cells")
+    mixed = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+    members = members.join(mixed, "s", "left_semi")
+    x, y = (members.select("s", *(F.col(k).alias(f"{k}{e}") for k in ("node", "n", "c"))) for e in "ab")
+    num, den = ALIKE
+    near = (F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    rest = x.join(y, "s").where(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    rest = stage(_alike(rest, sets), "similar-pairs")
+    of = connected_components(found.unionByName(rest)).select("node", F.col("component").alias("class"))
+    different = stage(nodes.select("node", "id").join(of, "node", "left").withColumn("class", F.coalesce("class", "node")), "similar-classes")
+    least = different.groupBy("class").agg(F.min("id").alias("component_id"))
+    classes = different.join(least, "class").select("node", "component_id")
+    return fps.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, size: int = WIDE_SIZE) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id; by default of a similarity of 0.8 on five words."""
-    kept = near_duplicates(docs, words, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = similar(docs, words, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stage(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n")), "kept")
     rows = docs.withColumn("__t", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))

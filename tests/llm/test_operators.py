@@ -145,6 +145,28 @@ def test_simhash(spark, odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
+def _versions(changed, groups=60, n=250):
+    """Pairs of texts of ``n`` words, the second with every ``n / changed``-th word replaced; and their exact similarities."""
+    rng = random.Random(changed)
+    rows, alike = [], []
+    for g in range(groups):
+        one = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        two = list(one)
+        for k in range(changed):
+            two[(2 * k + 1) * n // (2 * changed)] = f"new{g}x{k}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (one, two))
+        alike.append(len(x & y) / len(x | y))
+        rows += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    return rows, alike
+
+
+def test_similar_pairs_all_meet(spark):
+    rows, alike = _versions(5)
+    assert 0.8 <= min(alike) and max(alike) < 0.83
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows if i % 2 == 0]
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = entries.QUERIES["op7_language"](spark, SMALL).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
