@@ -13,12 +13,13 @@ for 64-bit fingerprints: over many documents unrelated ones come as near.  For i
 (``size=128``) fingerprints have 128 bits and link at ``WIDE_BITS``: 19.4 bits are
 what 0.8 turns on average, the rest is one standard deviation.  Such a
 fingerprint has ``SHUFFLES`` times four blocks of 32 bits, each with anchors as
-above.  That alone is a matter of chance, so ``keep_one`` adds an exact way: in one
-order of all shingles, two sets of a similarity of 0.8 share one of the first
-``n - ceil(0.8 n) + 1`` shingles of each.  Sets that share such a shingle are
-compared as whole sets (of 64-bit shingle hashes) unless fingerprints have joined
-them already.  Shingles that are frequent in a sample come last in the order; this
-changes the work, not the result.
+above.  That alone is a matter of chance, so ``keep_one`` takes fingerprints only for
+candidates, which are compared as whole sets of shingles (their 64-bit hashes) before
+they link, and adds an exact way for the rest: in one order of all shingles, two sets
+of a similarity of 0.8 share one of the first ``n - ceil(0.8 n) + 1`` shingles of each.
+Sets that share such a shingle are compared unless they are joined already; only
+they need fingerprints.  Shingles that are frequent in a sample come last in the
+order; this changes the work, not the result.
 
 Copies are one fingerprint, so a group of copies costs one comparison.  A cell
 links its members by a spanning forest, not by all pairs.  A cell over
@@ -330,14 +331,14 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, siz
     # sets that share a first shingle; all others have no similar one
     met = fps.select("node", F.explode("prefix").alias("s")).groupBy("s").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
     cells = stage(met.select("s", F.explode("nodes").alias("node")), "shingle-cells")
-    shared = nodes.join(cells.select("node").distinct(), "node", "left_semi")
+    shared = stage(nodes.join(cells.select("node").distinct(), "node", "left_semi"), "shared-nodes")
     sets = _sets(docs, shared.select("node", "id", "h"), words, size)
-    same = nodes.withColumn("f", _node(size))
+    same = shared.withColumn("f", _node(size))
     heads = same.groupBy("f").agg(F.min("node").alias("head"))
     ends = [heads.select(F.col("f").alias(k), F.col("head").alias(f"h{k}")) for k in "ab"]
-    found = links(nodes, bits, size=size).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    found = links(shared, bits, size=size).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     found = found.unionByName(same.join(heads, "f").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    found = stage(found, "fingerprint-pairs")
+    found = stage(_alike(found, sets), "fingerprint-pairs")
     of = connected_components(found).select("node", "component")
     # of the rest, every two sets of a cell that are not joined yet
     size_ = sets.select("node", F.size("w").alias("n"))
@@ -347,7 +348,11 @@ def similar(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, siz
     x, y = (members.select("s", *(F.col(k).alias(f"{k}{e}") for k in ("node", "n", "c"))) for e in "ab")
     num, den = ALIKE
     near = (F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    rest = x.join(y, "s").where(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    # what a pair has in common is counted in both first parts or lies behind the first part of one
+    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - F.lit(1e-9))
+    behind = F.ceil(F.greatest("na", "nb") * num / den - F.lit(1e-9)) - 1
+    rest = x.join(y, "s").where(near).groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").agg(F.count("*").alias("shared"))
+    rest = stage(rest.where(F.col("shared") + behind >= least).select("a", "b"), "similar-candidates")
     rest = stage(_alike(rest, sets), "similar-pairs")
     of = connected_components(found.unionByName(rest)).select("node", F.col("component").alias("class"))
     different = stage(nodes.select("node", "id").join(of, "node", "left").withColumn("class", F.coalesce("class", "node")), "similar-classes")

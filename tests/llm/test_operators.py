@@ -167,6 +167,22 @@ def test_similar_pairs_all_meet(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows if i % 2 == 0]
 
 
+def test_only_similar_documents_go(spark):
+    rows, alike = _versions(10)
+    assert 0.6 < min(alike) and max(alike) < 0.8
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL")
+    raw = docs.toPandas().sort_values("doc_id").reset_index(drop=True)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in raw.text)]
+    comp = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == raw.doc_id[sorted(set(comp))].tolist()
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = entries.QUERIES["op7_language"](spark, SMALL).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
