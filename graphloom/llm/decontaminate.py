@@ -116,6 +116,25 @@ def proximity_matches(index: DataFrame, places: DataFrame, within: int = WINDOW)
     return both.select("row", "item_key", "item_id", "s", "e").distinct()
 
 
+def proximity_places(items: DataFrame, df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The anchors, and for an item of one anchor its rarest place beside it (ties: the nearer one); an item of one word has none."""
+    places = anchors(items, df, window)
+    alone = places.groupBy("item_key").agg(F.count("*").alias("k"), F.first("q").alias("only")).where("k = 1").select("item_key", "only")
+    other = items.join(alone, "item_key").select("item_key", "item_id", F.size("w").alias("n"), F.col("w").alias("item_words"), "only", F.posexplode("w").alias("q", "term")).where("q != only")
+    rank = Window.partitionBy("item_key").orderBy(F.coalesce("df", F.lit(0)), F.abs(F.col("q") - F.col("only")), "q")
+    other = other.join(df, "term", "left").withColumn("rank", F.row_number().over(rank)).where("rank = 1")
+    return places.unionByName(other.select(*places.columns))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, item_id, s, e`` of every proximity match of every document row: passages with words put in or changed between two anchors."""
+    items = stage(benchmark.select(F.monotonically_increasing_id().alias("item_key"), F.col("item_id").cast("string").alias("item_id"), words("text").alias("w")).where(F.size("w") > 0), "items")
+    df = stage(frequencies(docs, items.select(F.explode("w").alias("term")).distinct()), "frequencies")
+    places = stage(proximity_places(items, df, window), "anchors")
+    index = build_index(docs, places.select("term").distinct(), 1)
+    return proximity_matches(index, places, window).join(index.select("row", "doc_id"), "row").select("doc_id", "item_id", "s", "e")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document row: ``doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated``."""
     items = stage(benchmark.select(F.monotonically_increasing_id().alias("item_key"), F.col("item_id").cast("string").alias("item_id"), words("text").alias("w")).where(F.size("w") > 0), "items")
@@ -146,6 +165,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, items).drop("text_hash")
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of all ``documents`` with all of ``benchmark``."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return proximity(docs, items)
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_lm": lm.op9_lm,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op10_proximity": decontaminate.op10_proximity,
 }
 ORACLE_SQL = {
     "op2_chat": chat.OP2_SQL,

@@ -228,6 +228,15 @@ def test_proximity(spark):
     assert [(r.s, r.e) for r in decontaminate.proximity_matches(index, places, 5).collect()] == [(0, 3)]
 
 
+def test_proximity_query(spark, tmp_path):
+    # a word put into the only window; the item of three words has one anchor
+    texts = [(1, "x alpha beta new gamma y"), (2, "gamma beta alpha"), (3, None), (4, "alpha " * 3)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta gamma"), (8, "single")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = entries.QUERIES["op10_proximity"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(1, "7", 2, 4)]
+
+
 def test_pipeline(spark):
     """Every stage against a plain version on its own input."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
