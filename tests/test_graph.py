@@ -7,9 +7,11 @@ import random
 import numpy as np
 import pytest
 
+from graphloom import registry
 from graphloom.operators import analytics, quant, traversal, vector
 from graphloom.operators.graph import ENTITY_SCHEMA, RELATION_SCHEMA, KnowledgeGraph
 from graphloom.operators.linkage import connected_components
+from graphloom.sources import tables
 
 REL = "id long, source_id long, target_id long, rel_type string, weight double"
 
@@ -90,3 +92,17 @@ def test_quantizers(spark):
             quant.TrainedQuantizer("int8").fit(spark.createDataFrame(bad, "embedding array<float>"))
     with pytest.raises(quant.QuantizationError, match="NotTrained"):
         quant.TrainedQuantizer("int8").quantize([1.0])
+
+
+def test_recall_of_all_queries(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=64).tolist(), 1) for i in range(15, 81)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = tables.vectors(spark, str(tmp_path))
+    graph, want = KnowledgeGraph(v, None), []
+    for r in v.where("id % 20 = 0").collect():
+        exact, codes = ({x.entity_id for x in run(graph, r.embedding, 10).collect()} for run in (vector.vector_search, quant.quantized_search))
+        want.append(len(exact & codes) / 10)
+    assert len(want) == 4
+    assert registry.QUERIES["kg_recall_at_10"](spark, str(tmp_path)).head()[0] == round(sum(want) / 4, 6)
+    assert abs(quant.search_recall(v, v.id % 20 == 0, 10, block=3).head()[0] - sum(want) / 4) < 1e-9
