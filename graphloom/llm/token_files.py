@@ -3,13 +3,15 @@
 File format (a Parquet container, so that any Hadoop store can hold it):
 
 * ``dictionary``: one row ``dict_hash string, dictionary binary``;
-* ``blocks``: rows ``part int, block long, n_tokens long, dict_hash string,
-  index binary, payload binary``.  ``payload`` is the concatenation of one
+* ``blocks``: rows ``part int, block long, min_id long, max_id long, n_tokens
+  long, dict_hash string, index binary, payload binary``, in row groups of a few
+  blocks.  ``payload`` is the concatenation of one
   zstandard frame per document, each compressed against the shared dictionary;
   ``index`` holds ``(int64 doc_id, uint64 offset, uint32 size, uint64 ids)`` per
-  document, little-endian, and a null mask byte for the id.  A document is read
-  by seeking to its offset: no neighbour is decompressed;
-* ``parts``: ``part int, start long``: the ids before the first block of a part.
+  document, little-endian, and a null mask byte for the id.  A document is found
+  by the blocks' least and largest ids (null ids are in neither), which prune the
+  scan, and read by seeking to its offset: no neighbour is decompressed;
+* ``places``: ``part int, block long, start long``: the ids before each block.
 
 Parts and blocks follow ascending ``doc_id`` (null first, ties by the ids'
 checksum).  Null text is an empty text; an empty text is the end id alone; an
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from graphloom.llm.tokens import default_path, encoder
 from graphloom.plans.shared import shared_dir, stage
 
-#: Documents that the dictionary is trained on, at most, and bytes of each that training sees.
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1000, 16_384, 65_536, 3
+#: Documents that the dictionary is trained on, at most; runs of a longer document that training sees, spread over all of it, and bytes of each.
+SAMPLE_DOCS, SAMPLE_RUNS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1000, 8, 2048, 65_536, 3
 #: A block is closed once it holds so many compressed bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 4096
+#: Bytes of a row group of the blocks' table.
+GROUP_BYTES = 8_000_000
 _ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u8")])
-_BLOCKS = "part int, block long, n_tokens long, dict_hash string, index binary, payload binary"
+_BLOCKS = "part int, block long, min_id long, max_id long, n_tokens long, dict_hash string, index binary, payload binary"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, dict_hash string"
 
 
@@ -51,14 +55,22 @@ class TokenFiles:
     def blocks(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks")
 
-    def parts(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/parts")
+    def places(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/places")
 
     def dictionary(self, spark: SparkSession) -> tuple[str, bytes]:
         row = spark.read.parquet(f"{self.path}/dictionary").head()
         return row["dict_hash"], bytes(row["dictionary"])
 
 
+def spread(ids: bytes, runs: int = SAMPLE_RUNS, size: int = SAMPLE_BYTES) -> bytes:
+    """``runs`` runs of ``size`` bytes at equal distances from the beginning to the end of longer ids, or all."""
+    if len(ids) <= runs * size:
+        return ids
+    last = (len(ids) - size) // 4
+    return b"".join([ids[4 * (last * k // (runs - 1)) :][:size] for k in range(runs)])
+
+
 def train_dictionary(docs: DataFrame, path: str) -> tuple[str, bytes]:
     """A dictionary from the serialized ids of about ``SAMPLE_DOCS`` documents, spread evenly by hash.
 
@@ -73,7 +85,7 @@ def train_dictionary(docs: DataFrame, path: str) -> tuple[str, bytes]:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"h": b.h, "ids": [x[:SAMPLE_BYTES] for x in encoder(path).encode_all(b.text)]})
+            yield pd.DataFrame({"h": b.h, "ids": list(map(spread, encoder(path).encode_all(b.text)))})
 
     rows = picked.mapInPandas(encode, "h long, ids binary").orderBy("h", "ids").limit(SAMPLE_DOCS).collect()
     samples = [bytes(r["ids"]) for r in rows]
@@ -112,7 +124,10 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
             index["doc_id"], index["known"] = [r[0] or 0 for r in rows], [r[0] is not None for r in rows]
             index["size"], index["ids"] = [len(r[2]) for r in rows], [r[1] for r in rows]
             index["offset"] = np.cumsum(index["size"], dtype="u8") - index["size"]
-            return pd.DataFrame([(part, block, int(index["ids"].sum()), dict_hash, index.tobytes(), b"".join(r[2] for r in rows))], columns=["part", "block", "n_tokens", "dict_hash", "index", "payload"])
+            known = [r[0] for r in rows if r[0] is not None]
+            ends = (known[0], known[-1]) if known else (None, None)
+            row = (part, block, *ends, int(index["ids"].sum()), dict_hash, index.tobytes(), b"".join(r[2] for r in rows))
+            return pd.DataFrame([row], columns=["part", "block", "min_id", "max_id", "n_tokens", "dict_hash", "index", "payload"]).astype({"min_id": "Int64", "max_id": "Int64"})
 
         for b in batches:
             for doc_id, ids, frame in zip(b.doc_id, b.ids, b.frame, strict=True):
@@ -125,10 +140,12 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
             yield close()
 
     ordered = framed.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    ordered.mapInPandas(block_up, _BLOCKS).write.parquet(f"{files.path}/blocks")
-    totals = files.blocks(spark).groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    totals.select("part", F.coalesce(before, F.lit(0)).alias("start")).write.parquet(f"{files.path}/parts")
+    ordered.mapInPandas(block_up, _BLOCKS).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{files.path}/blocks")
+    sizes = stage(files.blocks(spark).select("part", "block", "n_tokens"), "block-sizes")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    inside = sizes.select("part", "block", F.col("n_tokens").alias("n")).withColumn("start", before(Window.partitionBy("part").orderBy("block")))
+    inside.join(parts, "part").select("part", "block", (F.col("base") + F.col("start")).alias("start")).write.parquet(f"{files.path}/places")
     return files
 
 
@@ -143,9 +160,8 @@ def read_documents(spark: SparkSession, files: TokenFiles) -> DataFrame:
     dict_hash, dictionary = files.dictionary(spark)
     if hashlib.sha256(dictionary).hexdigest() != dict_hash:
         raise ValueError("the dictionary does not match its hash")
-    w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.blocks(spark).select("part", "block", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(files.parts(spark), "part").select("part", "block", (F.col("base") + F.col("start")).alias("start"))
-    blocks = files.blocks(spark).join(places, ["part", "block"])
+    # read from its file, the small table's size is known and decides how it is joined
+    blocks = files.blocks(spark).join(files.places(spark), ["part", "block"])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = _decompressor(dictionary)
@@ -162,21 +178,30 @@ def read_documents(spark: SparkSession, files: TokenFiles) -> DataFrame:
     return blocks.select("start", "dict_hash", F.col("index").alias("entries"), "payload").mapInPandas(decode, _DOCS)
 
 
+def blocks_of(spark: SparkSession, files: TokenFiles, doc_ids: list[int]) -> DataFrame:
+    """The blocks that may hold some of a few documents: a filter that reaches the scan."""
+    held = F.lit(False)
+    for i in doc_ids:
+        held = held | ((F.col("min_id") <= i) & (F.col("max_id") >= i))
+    return files.blocks(spark).where(held)
+
+
 def read_ids(spark: SparkSession, files: TokenFiles, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Short-document access: ids of a few documents; only their frames are decompressed."""
+    """Short-document access: ids of a few documents (of equal ids, one); only their blocks are read and only their frames decompressed."""
     _, dictionary = files.dictionary(spark)
-    wanted = set(doc_ids)
+    wanted = np.unique(np.array(doc_ids, np.int64))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = _decompressor(dictionary)
         for batch in batches:
-            for index, payload in zip(batch["index"], batch["payload"], strict=True):
-                for e in np.frombuffer(index, _ENTRY):
-                    if e["known"] and int(e["doc_id"]) in wanted:
-                        ids = np.frombuffer(d.decompress(payload[int(e["offset"]) : int(e["offset"]) + int(e["size"])]), "<u4")
-                        yield pd.DataFrame({"doc_id": [int(e["doc_id"])], "ids": [ids.astype("i8").tolist()]})
-
-    rows = files.blocks(spark).select("index", "payload").mapInPandas(find, "doc_id long, ids array<long>").collect()
+            for index, payload in zip(batch["entries"], batch["payload"], strict=True):
+                index = np.frombuffer(index, _ENTRY)
+                index = index[index["known"] > 0]
+                for e in index[np.isin(index["doc_id"], wanted)]:
+                    ids = np.frombuffer(d.decompress(payload[int(e["offset"]) : int(e["offset"]) + int(e["size"])]), "<u4")
+                    yield pd.DataFrame({"doc_id": [int(e["doc_id"])], "ids": [ids.astype("i8").tolist()]})
+
+    rows = blocks_of(spark, files, wanted.tolist()).select(F.col("index").alias("entries"), "payload").mapInPandas(find, "doc_id long, ids array<long>").collect()
     return {r["doc_id"]: r["ids"] for r in rows}
 
 
