@@ -12,10 +12,16 @@ name); the score is its posterior when the bits are taken per ``SCALE`` bytes.
 
 Letters A-Z are lower-cased.  Null text, and text without a letter, is ``und``
 with score 0.  Training reads text and non-null ``lang`` only, of about
-``TRAIN_DOCS`` different texts per language, spread by hash (the documented
-bound of the sample).  Without any language learned everything is ``und``.  An
+``TRAIN_DOCS`` different texts of at most ``TRAIN_CHARS`` characters per language,
+spread by hash (the documented bound of the sample); more than ``MOST_LANGUAGES``
+labels are an error.  Without any language learned everything is ``und``.  An
 empty table gives no rows; repeated rows get equal predictions; extra columns
-are ignored by the predictor and kept by the filter.
+are kept whatever their names.
+
+The filter (:func:`keep_identified`) keeps a document if its best language is
+among those asked for (all learned ones by default), its score is at least
+``LEAST_SCORE`` and its code takes at most ``MOST_BITS`` bits a byte: text of no
+learned language, or none at all, is longer under every tree.
 """
 
 from __future__ import annotations
@@ -23,13 +29,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-ORDER, TRAIN_DOCS, SCALE = 3, 400, 16
+ORDER, TRAIN_DOCS, TRAIN_CHARS, MOST_LANGUAGES, SCALE = 3, 400, 100_000, 256, 16
+#: What the filter asks for: the posterior of the best language, and bits a byte at most.
+LEAST_SCORE, MOST_BITS = 0.4, 6.0
 #: Bytes whose windows are held at once.
 AT_ONCE = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -95,7 +105,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.keys = np.unique(np.concatenate([t.levels[0][1] for t in self.trees])) if self.trees else np.zeros(0, np.uint32)
-        self.costs = np.stack([t.bits(self.keys) for t in self.trees], 1).astype(np.float32) if self.trees else np.zeros((0, 0), np.float32)
+        self.costs = np.stack([t.bits(self.keys) for t in self.trees], 1) if self.trees else np.zeros((0, 0))
         self.width = max(10, int(len(self.keys) * 4).bit_length())
         self.slots = np.full(1 << self.width, -1, np.int32)
         left, probe = np.arange(len(self.keys), dtype=np.int32), 0
@@ -159,17 +169,19 @@ class Model:
             bits = np.bincount(doc - first, weights=cost)
             out[first : first + len(bits), k] += bits
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each whole text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and bits a byte of each whole text."""
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
         lettered = np.array([any(m[0].isalpha() for m in _LETTER.finditer(t or "")) for t in texts], bool)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits = self.code_lengths(raw)
+        size = np.maximum([len(r) for r in raw], 1) if raw else np.ones(0)
         best = bits.argmin(axis=1) if len(texts) else np.zeros(0, int)
-        over = (bits - bits.min(axis=1, keepdims=True)) / np.maximum([[len(r) / SCALE] for r in raw], 1)
+        least = bits.min(axis=1, keepdims=True) if len(texts) else np.zeros((0, 1))
+        over = (bits - least) / np.maximum(size[:, None] / SCALE, 1)
         score = 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), least[:, 0] / size
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
@@ -178,13 +190,16 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     Windows are counted by the executors and summed by (language, window); what
     reaches the driver is bounded by the sample.
     """
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), "text")
-    # one number per language, as the model has one tree per language
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("lang", F.xxhash64("text").alias("h"), "text")
+    # one number per language, as the model has one tree per language; copies count once
+    different = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in different.limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, train_docs / n).otherwise(share)
-    # a text's hash decides alone, so copies are in or out together and count once
+    if sizes:
+        share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, train_docs / n)))[F.col("lang")]
+    # a text's hash decides alone, so copies are in or out together
     picked = labelled.where(F.col("h") / F.lit(float(2**64)) + 0.5 <= share).select("lang", "text").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,20 +216,21 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return Model(sorted(groups), [Tree(g.w.to_numpy().astype(np.uint32), g.n.to_numpy(dtype=np.float64)) for _, g in sorted(groups.items())])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; other columns stay."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """``docs`` with prediction, score and bits a byte under ``names``; other columns stay (one of those names is replaced)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*extra).schema.add("lang_pred", "string").add("score", "double")
+    rest = docs.select(*(c for c in docs.columns if c not in names))
+    schema = StructType([*rest.schema.fields, StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])])
+    text = rest.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:  # noqa: ANN401
         import pyarrow as pa
 
         for b in batches:
-            lang, score = held.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            lang, score, bits = held.value.predict(b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*b.schema.names, *names])
 
-    return docs.select(*extra).mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -222,10 +238,13 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False)))
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Documents in a learned language; a missing ``lang`` is filled with the prediction."""
-    found = predict(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None, least_score: float = LEAST_SCORE, most_bits: float = MOST_BITS) -> DataFrame:
+    """The documents that the model puts in one of ``languages`` (all learned ones by default); a missing ``lang`` is filled in."""
+    lang, score, bits = names = tuple(f"{c}_{uuid4().hex}" for c in ("lang", "score", "bits"))
+    found = predict(docs, model, names).where((F.col(lang) != "und") & (F.col(score) >= least_score) & (F.col(bits) <= most_bits))
+    if languages is not None:
+        found = found.where(F.col(lang).isin(languages))
+    return found.withColumn("lang", F.coalesce("lang", F.col(lang))).select(*docs.columns)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,4 +252,4 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = predict(docs.select("doc_id", "text"), train(learnable(docs)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
