@@ -17,12 +17,16 @@ A window is ``WINDOW`` consecutive words of an item; an item of fewer, but not
 none, is one window.  Null text has no words (and an item of none has no
 windows); rows are matched by row, so repeated rows and shared or null ids each
 keep their own result; empty tables give no rows, or no hits; extra columns are
-ignored.  The term filter inside the scan is a literal set while the benchmark
-has at most ``LITERAL_TERMS`` anchor terms, else a join.
+ignored by the operator and kept, whatever their names, by the filter.  The term
+filter inside the scan is a literal set while the benchmark has at most
+``LITERAL_TERMS`` anchor terms; beyond, it is a literal bitmap of hashed terms of
+at most 8 MB, which lets a few other tokens through (their postings meet nothing).
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ from graphloom.plans.shared import stage
 
 WINDOW = 10
 LITERAL_TERMS = 20_000
+#: Bits of the bitmap per term, and its size at most, as powers of two.
+BITS_PER_TERM, MOST_BITS = 4, 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,16 +76,27 @@ def anchors(items: DataFrame, df: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.withColumn("term", F.col("item_words")[F.col("q")])
 
 
-def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+def _listed(terms: DataFrame, literal: int = LITERAL_TERMS):  # noqa: ANN202
+    """Whether a word is one of ``terms`` (or, beyond ``literal`` terms, hashes like one)."""
+    n = terms.count()
+    if n <= literal:
+        words_ = [r["term"] for r in terms.select("term").collect()]
+        return lambda w: w.isin(words_)
+    bits = min((n - 1).bit_length() + BITS_PER_TERM, MOST_BITS)
+    place = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1))
+    # the bitmap is as long as its bound says, however many terms there are
+    at = terms.select(place(F.col("term")).alias("h")).select(F.shiftright("h", 6).alias("k"), F.shiftleft(F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    ones = {r["k"]: r["b"] for r in at.groupBy("k").agg(F.bit_or("bit").alias("b")).collect()}
+    bitmap = F.lit([ones.get(k, 0) for k in range(max(1, 1 << (bits - 6)))])
+    return lambda w: F.getbit(bitmap[F.shiftright(place(w), 6).cast("int")], place(w).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW, literal: int = LITERAL_TERMS) -> DataFrame:
     """One row per document: ``row, doc_id, text_hash, n_words, postings``; a posting is its place, term and neighbours."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
-    n = terms.count()
+    listed = _listed(terms, literal)
     places = F.sequence(F.lit(0), F.size("w") - 1)
-    if n <= LITERAL_TERMS:
-        listed = [r["term"] for r in terms.select("term").collect()]
-        keep = F.filter(places, lambda i: F.col("w")[i].isin(listed))
-    else:
-        keep = places
+    keep = F.filter(places, lambda i: listed(F.col("w")[i]))
     around = lambda i: F.struct(i.alias("p"), F.col("w")[i].alias("term"), F.slice("w", F.greatest(i - window + 2, F.lit(1)), F.least(i, F.lit(window - 1))).alias("left"), F.slice("w", i + 2, window - 1).alias("right"))
     postings = F.when(F.size("w") > 0, F.transform(keep, around)).otherwise(F.array())
     return stage(rows.select("row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), postings.alias("postings")), "positional-index")
@@ -106,14 +123,17 @@ def phrase_matches(index: DataFrame, places: DataFrame, window: int = WINDOW) ->
 
 
 def proximity_matches(index: DataFrame, places: DataFrame, within: int = WINDOW) -> DataFrame:
-    """``row, item_key, item_id, s, e``: places where two neighbouring anchors of an item stand in its order within ``within`` words."""
-    postings = index.select("row", F.explode("postings").alias("t")).select("row", "t.p", "t.term")
+    """``row, item_key, item_id, s, e``: places where two neighbouring anchors of an item stand in its order within ``within`` words.
+
+    The index must hold ``within`` neighbours of a posting: the second anchor is
+    looked up there, so the postings of a document are not joined with themselves.
+    """
+    postings = index.select("row", F.explode("postings").alias("t")).select("row", "t.p", "t.term", "t.right")
     order = Window.partitionBy("item_key").orderBy("q")
     following = places.select("item_key", "item_id", "term", F.lead("term").over(order).alias("next")).where("next IS NOT NULL").distinct()
-    first = postings.withColumnRenamed("p", "s").join(following, "term")
-    second = postings.select("row", F.col("term").alias("next"), F.col("p").alias("e"))
-    both = first.join(second, ["row", "next"]).where((F.col("e") > F.col("s")) & (F.col("e") - F.col("s") <= within))
-    return both.select("row", "item_key", "item_id", "s", "e").distinct()
+    after = F.filter(F.transform("right", lambda x, i: F.when(x == F.col("next"), i + 1)), lambda k: k.isNotNull() & (k <= within))
+    both = postings.join(following, "term").select("row", "item_key", "item_id", F.col("p").alias("s"), F.explode(after).alias("k"))
+    return both.select("row", "item_key", "item_id", "s", (F.col("s") + F.col("k")).alias("e")).distinct()
 
 
 def proximity_places(items: DataFrame, df: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -131,7 +151,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     items = stage(benchmark.select(F.monotonically_increasing_id().alias("item_key"), F.col("item_id").cast("string").alias("item_id"), words("text").alias("w")).where(F.size("w") > 0), "items")
     df = stage(frequencies(docs, items.select(F.explode("w").alias("term")).distinct()), "frequencies")
     places = stage(proximity_places(items, df, window), "anchors")
-    index = build_index(docs, places.select("term").distinct(), 1)
+    index = build_index(docs, places.select("term").distinct(), window + 1)
     return proximity_matches(index, places, window).join(index.select("row", "doc_id"), "row").select("doc_id", "item_id", "s", "e")
 
 
@@ -153,10 +173,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without the documents that hold a window of the benchmark; repeated rows and null ids stay or go by their text."""
+    i, h, bad_i, bad_h = (f"{c}_{uuid4().hex}" for c in ("id", "h", "id", "h"))
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(bad_i), F.col("text_hash").alias(bad_h)).distinct()
+    keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    # what goes is usually little: read from a written table, its size is known and decides how it is joined
+    return keyed.join(stage(bad, "contaminated"), F.col(i).eqNullSafe(F.col(bad_i)) & (F.col(h) == F.col(bad_h)), "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
