@@ -123,7 +123,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     runs = runs_of(plan_bins(histogram, capacity))
     w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "local_rank", "task")
+    # the counts grow with the number of tasks, so they are never broadcast
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "local_rank", "task")
     held = docs.sparkSession.sparkContext.broadcast(runs)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
