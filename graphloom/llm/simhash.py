@@ -8,19 +8,6 @@ different fingerprint is replicated to every anchor within covering radius plus
 threshold, 1 + 1, which is 16 of 2^26; then a pair meets at the anchor of either.
 Cells are compared exactly on all bits, each by itself.
 
-A word-shingle similarity (Jaccard) of 0.8 turns about 15 of 100 bits, too many
-for 64-bit fingerprints: over many documents unrelated ones come as near.  For it
-(``size=128``) fingerprints have 128 bits and link at ``WIDE_BITS``: 19.4 bits are
-what 0.8 turns on average, the rest is one standard deviation.  Such a
-fingerprint has ``SHUFFLES`` times four blocks of 32 bits, each with anchors as
-above.  That alone is a matter of chance, so ``keep_one`` takes fingerprints only for
-candidates, which are compared as whole sets of shingles (their 64-bit hashes) before
-they link, and adds an exact way for the rest: in one order of all shingles, two sets
-of a similarity of 0.8 share one of the first ``n - ceil(0.8 n) + 1`` shingles of each.
-Sets that share such a shingle are compared unless they are joined already; only
-they need fingerprints.  Shingles that are frequent in a sample come last in the
-order; this changes the work, not the result.
-
 Copies are one fingerprint, so a group of copies costs one comparison.  A cell
 links its members by a spanning forest, not by all pairs.  A cell over
 ``CELL`` members is not held by one task: it is written out, cut into salted
@@ -29,7 +16,8 @@ blocks, and its pairs of blocks are compared as cells of their own.
 Null text, and text without words, has fingerprint zero and is linked like any
 other; rows with a null ``doc_id`` take part but are never a smallest id unless
 alone in their class; repeated rows appear repeatedly; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored.  The similarity of 0.8 on five words that the
+pipeline asks for is in :mod:`graphloom.llm.similar`.
 """
 
 from __future__ import annotations
@@ -39,86 +27,67 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.linkage import connected_components
 from graphloom.plans.shared import stage
 
-WORDS, BITS, SIZE, SEED = 3, 3, 64, 42
-#: For a similarity of 0.8 on five words: largest distance of 128-bit fingerprints, and deals of their bits to blocks.
-WIDE_WORDS, WIDE_BITS, WIDE_SIZE, SHUFFLES = 5, 23, 128, 2
-#: The similarity of ``keep_one``, as a fraction; documents sampled for the order of shingles, and frequent shingles listed at most.
-ALIKE = (4, 5)
-SAMPLE, FREQUENT = 4000, 100_000
+WORDS, BITS, SEED = 3, 3, 42
 #: Members of a cell that one task compares.
 CELL = 20_000
 _UPTO = 12
 
 
-def _hashes(text: str | None, words: int, size: int) -> np.ndarray:
-    """Hashes of the whole text's word shingles as bytes ``(n, size / 8)``: 64 bits by XXH64, 128 by XXH3-128."""
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the whole text's word shingles as bytes ``(n, 8)``."""
+    from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return np.zeros((0, size // 8), np.uint8)
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[min(words, len(parts)) - 1 :].tolist()
     shingles = (joined[a:b] for a, b in zip(starts.tolist(), last))  # noqa: B905
-    if size == 64:
-        return np.array([xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
-    return np.frombuffer(b"".join([xxh3_128_digest(x, SEED) for x in shingles]), np.uint8).reshape(-1, 16)
+    return np.array([xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
 
 
-def _majority(hashes: np.ndarray, size: int) -> int:
-    ones = np.zeros(size, np.int64)
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits set in over half of the hashes ``(n, bytes)``."""
+    ones = np.zeros(hashes.shape[1] * 8, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
-def fingerprint(text: str | None, words: int = WORDS, size: int = SIZE) -> int:
-    """The SimHash of the whole text's word shingles: of 64 bits by XXH64, of 128 by XXH3-128."""
-    return _majority(_hashes(text, words, size), size)
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of the whole text's word shingles."""
+    return int.from_bytes(majority(_hashes(text, words)), "little")
 
-def _different(hashes: np.ndarray) -> np.ndarray:
-    """The set of shingles: their different hashes in order, by 64 bits."""
-    return np.unique(np.ascontiguousarray(hashes[:, :8]).view("<i8")[:, 0])
 
-
-def fingerprints(docs: DataFrame, words: int = WORDS, size: int = SIZE) -> DataFrame:
-    """``doc_id, text_hash, fp, fp2`` of every document: the lower and the upper 64 bits (0 if ``size`` is 64) as signed bigints."""
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, fp`` of every document; ``fp`` is a signed bigint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = b"".join([fingerprint(t, words, size).to_bytes(16, "little") for t in b.text])
-            fp = np.frombuffer(raw, "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_hash": b.text_hash, "fp": fp[:, 0], "fp2": fp[:, 1]})
+            fp = np.array([fingerprint(t, words) for t in b.text], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "fp": fp})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def _blocks(fp: np.ndarray, size: int) -> list[np.ndarray]:
-    """The blocks of fingerprints ``(n, 2)``, 31 bits of each 32."""
-    if size == 64:
-        return [((fp[:, 0] >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) for half in (0, 1)]
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-    deal = np.random.default_rng(SEED)
-    orders = [deal.permutation(size) for _ in range(SHUFFLES)]
-    cut = [order[k : k + 31] for order in orders for k in range(0, size, 32)]
-    return [np.ascontiguousarray(np.packbits(bits[:, c], axis=1, bitorder="little")).view("<u4")[:, 0] for c in cut]
+def _blocks(fp: np.ndarray) -> list[np.ndarray]:
+    """The 32-bit blocks of fingerprints ``(n, 64-bit words)``, 31 bits of each."""
+    return [((fp[:, k] >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) for k in range(fp.shape[1]) for half in (0, 1)]
 
 
-def anchors(fp: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and anchor keys of all anchors within two bits, for all blocks of fingerprints ``(n, 2)``."""
+def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchor keys of all anchors within two bits, for all blocks of fingerprints ``(n, 64-bit words)``."""
     rows, keys = [], []
     bit = np.arange(1, 32, dtype=np.uint32)
-    for block, x in enumerate(_blocks(fp, size)):
+    for block, x in enumerate(_blocks(fp)):
         syndrome = np.zeros(len(x), np.uint32)
         for i in bit:
             syndrome ^= np.where(x >> (i - 1) & 1, i, np.uint32(0)).astype(np.uint32)
@@ -134,20 +103,18 @@ def anchors(fp: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def _replicate(size: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-            for at in range(0, len(fp), 4000):
-                part = fp[at : at + 4000]
-                rows, keys = anchors(part.view(np.uint64), size)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows, 0]), pa.array(part[rows, 1])], names=["cell", "fp", "fp2"])
-
-    return run
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(fp), 4000):
+            part = fp[at : at + 4000]
+            rows, keys = anchors(part[:, None].view(np.uint64))
+            mine = pa.array(part[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), mine, mine, pa.array(np.zeros(len(rows), np.int64))], names=["cell", "id", "fp", "fp2"])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints ``(n, 2)``."""
+    """Differing bits of fingerprints ``(n, 64-bit words)``."""
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
@@ -166,19 +133,18 @@ def forest(fp: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
-_LINKS = "cell long, a long, a2 long, b long, b2 long"
+CELLS = "cell long, id long, fp long, fp2 long"
+_LINKS = "cell long, a long, b long, fp long, fp2 long"
 
 
 def _compare(bits: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links ``(cell null, a, a2, b, b2)``; members of over-full cells come back as ``(cell, fp, fp2, null, null)``."""
+        """Links ``(null, a, b)``; members of over-full cells come back as ``(cell, id, null, fp, fp2)``."""
 
-        def out(cell: int | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            none = pa.nulls(len(a), pa.int64())
-            ends = [none, none] if b is None else [pa.array(b[:, k]) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([none if cell is None else pa.array([cell] * len(a), pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), *ends], names=["cell", "a", "a2", "b", "b2"])
+        def over(cell: int, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell)), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["cell", "a", "b", "fp", "fp2"])
 
-        def whole(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def whole(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             raw = fp.view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(starts, len(cell)))
@@ -193,186 +159,71 @@ def _compare(bits: int, most: int):  # noqa: ANN202
             for s, n in zip(starts[sizes > _UPTO].tolist(), sizes[sizes > _UPTO].tolist(), strict=True):
                 pairs.append(np.array(forest(raw[s : s + n], bits), np.int64).reshape(-1, 2) + s)
             if pairs and sum(map(len, pairs)):
-                i, j = np.concatenate(pairs).T
-                x, y = fp[i], fp[j]
-                swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
-                ends = np.unique(np.where(swap[:, None], np.concatenate([y, x], 1), np.concatenate([x, y], 1)), axis=0)
-                yield out(None, ends[:, :2], ends[:, 2:])
+                ends = np.unique(np.sort(ids[np.concatenate(pairs)], axis=1), axis=0)
+                none = pa.nulls(len(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none], names=["cell", "a", "b", "fp", "fp2"])
 
-        cells, fps, full = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None
+        cells, ids, fps, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None
         for batch in batches:
-            c, *f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            c, d, *f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             f = np.stack(f, 1)
             if full is not None:  # the rest of a cell that is written out
                 n = int(np.searchsorted(c, full, "right"))
-                yield out(full, f[:n], None)
-                c, f = c[n:], f[n:]
+                yield over(full, d[:n], f[:n])
+                c, d, f = c[n:], d[n:], f[n:]
                 if not len(c):
                     continue
                 full = None
-            cells, fps = np.concatenate([cells, c]), np.concatenate([fps, f])
+            cells, ids, fps = np.concatenate([cells, c]), np.concatenate([ids, d]), np.concatenate([fps, f])
             last = int(np.searchsorted(cells, cells[-1], "left"))
             if len(cells) - last > most:
                 full = int(cells[-1])
-                yield out(full, fps[last:], None)
-                yield from whole(cells[:last], fps[:last]) if last else ()
-                cells, fps = cells[:0], fps[:0]
+                yield over(full, ids[last:], fps[last:])
+                yield from whole(cells[:last], ids[:last], fps[:last]) if last else ()
+                cells, ids, fps = cells[:0], ids[:0], fps[:0]
             elif last > 200_000:
-                yield from whole(cells[:last], fps[:last])
-                cells, fps = cells[last:], fps[last:]
+                yield from whole(cells[:last], ids[:last], fps[:last])
+                cells, ids, fps = cells[last:], ids[last:], fps[last:]
         if len(cells):
-            yield from whole(cells, fps)
+            yield from whole(cells, ids, fps)
 
     return run
 
 
-def _node(size: int, fp: str = "fp", fp2: str = "fp2") -> Column:
-    """One number per fingerprint."""
-    return F.col(fp) if size == 64 else F.xxhash64(fp, fp2)
-
-
-def links(fps: DataFrame, bits: int = BITS, cell: int = CELL, size: int = SIZE) -> DataFrame:
-    """``(a, b)``: links of numbered fingerprints; of 64-bit ones their components are those of all pairs within ``bits`` bits."""
-    if size == 64 and bits > 3:
-        raise ValueError("two halves with anchors at one bit cover thresholds up to 3")
-    upper = F.col("fp2") if "fp2" in fps.columns else F.lit(0).cast("long").alias("fp2")
-    cells = fps.select("fp", upper).distinct().mapInArrow(_replicate(size), "cell long, fp long, fp2 long")
+def meet(cells: DataFrame, bits: int, cell: int = CELL) -> DataFrame:
+    """``(a, b)``: spanning links of the members within ``bits`` of each other, of each cell of ``cells`` (``CELLS``)."""
     compare = lambda df, most: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits, most), _LINKS)
     found = stage(compare(cells, cell), "simhash-links")
-    over = found.where("cell IS NOT NULL")
-    done = found.where("cell IS NULL").select("a", "a2", "b", "b2")
+    over, done = found.where("cell IS NOT NULL"), found.where("cell IS NULL").select("a", "b")
     sizes = over.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell // 2)).alias("k"))
     if not sizes.isEmpty():
         # a member of block s meets block j in the cell (s, j)
-        salt = F.pmod(F.xxhash64("a", "a2"), F.col("k"))
+        salt = F.pmod(F.xxhash64("a"), F.col("k"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("fp"), F.col("a2").alias("fp2"), salt.alias("s"), other.alias("j"))
-        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "fp", "fp2")
-        done = done.unionByName(compare(rows, 2**31).select("a", "a2", "b", "b2"))
-    return done.select(_node(size, "a", "a2").alias("a"), _node(size, "b", "b2").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, size: int = SIZE) -> DataFrame:
-    """``doc_id, text_hash, fingerprint, component_id``: one row per document with its class."""
-    fps = stage(fingerprints(docs, words, size), "fingerprints").withColumn("node", _node(size))
-    of = connected_components(links(fps, bits, size=size)).select("node", F.col("component").alias("class"))
-    different = fps.groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    different = stage(different, "fingerprint-classes")
-    least = different.groupBy("class").agg(F.min("least").alias("component_id"))
-    classes = different.join(least, "class").select("node", "component_id")
-    written = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in (["fp"] if size == 64 else ["fp2", "fp"])))
-    return fps.join(classes, "node").select("doc_id", "text_hash", written.alias("fingerprint"), "component_id")
+        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("id"), "fp", "fp2", salt.alias("s"), other.alias("j"))
+        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "id", "fp", "fp2")
+        done = done.unionByName(compare(rows, 2**31).select("a", "b"))
+    return done
 
 
-def _frequent(docs: DataFrame, words: int, size: int) -> np.ndarray:
-    """Shingles of at least five sampled documents, most frequent first if there are too many."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t in b.text:
-                yield pd.DataFrame({"s": _different(_hashes(t, words, size))})
-
-    share = max(docs.count() // SAMPLE, 1)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-    found = some.mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 5")
-    return np.sort(np.array([r["s"] for r in found.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()], np.int64))
-
-
-def _described(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """``doc_id, text_hash, fp, fp2, node, prefix``: fingerprint, number of the shingle set and the set's first shingles."""
-    frequent, (num, den) = _frequent(docs, words, size), ALIKE
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
-
-        for b in batches:
-            raw, nodes, prefixes = [], [], []
-            for t in b.text:
-                hashes = _hashes(t, words, size)
-                raw.append(_majority(hashes, size).to_bytes(16, "little"))
-                u = _different(hashes)
-                nodes.append(xxh3_64_intdigest(u.tobytes(), SEED))
-                last = np.isin(u, frequent)
-                prefixes.append(np.concatenate([u[~last], u[last]])[: len(u) - -(-num * len(u) // den) + 1])
-            fp = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_hash": b.text_hash, "fp": fp[:, 0], "fp2": fp[:, 1], "node": np.array(nodes, np.uint64).view(np.int64), "prefix": prefixes})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return stage(rows.mapInPandas(run, "doc_id long, text_hash long, fp long, fp2 long, node long, prefix array<long>"), "fingerprints")
-
+def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
+    """``(a, b)``: links of fingerprints ``fp``; their components are those of all pairs within ``bits`` bits."""
+    if bits > 3:
+        raise ValueError("two halves with anchors at one bit cover thresholds up to 3")
+    return meet(fps.select("fp").distinct().mapInArrow(_replicate, CELLS), bits, cell)
 
-def _sets(docs: DataFrame, of: DataFrame, words: int, size: int) -> DataFrame:
-    """``node, w``: the whole shingle sets of ``of`` (``node, id, h``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                yield pd.DataFrame({"node": part.node, "w": [_different(_hashes(t, words, size)) for t in part.text]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    met = rows.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
-    return stage(met.select("node", "text").dropDuplicates(["node"]).mapInPandas(run, "node long, w array<long>"), "shingle-sets")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of sets whose exact similarity is at least ``ALIKE``."""
-    num, den = ALIKE
-    x, y = (sets.select(F.col("node").alias(k), F.col("w").alias(f"w{k}")) for k in "ab")
-    met = pairs.join(x, "a").join(y, "b").withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return met.where(F.col("o") * (den + num) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
-
-
-def similar(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, size: int = WIDE_SIZE) -> DataFrame:
-    """``doc_id, text_hash, component_id``: one row per document with its class of similar documents."""
-    fps = _described(docs, words, size)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "fp", "fp2"))
-    nodes = stage(fps.groupBy("node").agg(first.alias("m")).select("node", "m.id", "m.h", "m.fp", "m.fp2"), "shingle-nodes")
-    # sets that share a first shingle; all others have no similar one
-    met = fps.select("node", F.explode("prefix").alias("s")).groupBy("s").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    cells = stage(met.select("s", F.explode("nodes").alias("node")), "shingle-cells")
-    shared = stage(nodes.join(cells.select("node").distinct(), "node", "left_semi"), "shared-nodes")
-    sets = _sets(docs, shared.select("node", "id", "h"), words, size)
-    same = shared.withColumn("f", _node(size))
-    heads = same.groupBy("f").agg(F.min("node").alias("head"))
-    ends = [heads.select(F.col("f").alias(k), F.col("head").alias(f"h{k}")) for k in "ab"]
-    found = links(shared, bits, size=size).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    found = found.unionByName(same.join(heads, "f").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    found = stage(_alike(found, sets), "fingerprint-pairs")
-    of = connected_components(found).select("node", "component")
-    # of the rest, every two sets of a cell that are not joined yet
-    size_ = sets.select("node", F.size("w").alias("n"))
-    members = stage(cells.join(size_, "node").join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shingle-cells")
-    mixed = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    members = members.join(mixed, "s", "left_semi")
-    x, y = (members.select("s", *(F.col(k).alias(f"{k}{e}") for k in ("node", "n", "c"))) for e in "ab")
-    num, den = ALIKE
-    near = (F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    # what a pair has in common is counted in both first parts or lies behind the first part of one
-    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - F.lit(1e-9))
-    behind = F.ceil(F.greatest("na", "nb") * num / den - F.lit(1e-9)) - 1
-    rest = x.join(y, "s").where(near).groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").agg(F.count("*").alias("shared"))
-    rest = stage(rest.where(F.col("shared") + behind >= least).select("a", "b"), "similar-candidates")
-    rest = stage(_alike(rest, sets), "similar-pairs")
-    of = connected_components(found.unionByName(rest)).select("node", F.col("component").alias("class"))
-    different = stage(nodes.select("node", "id").join(of, "node", "left").withColumn("class", F.coalesce("class", "node")), "similar-classes")
-    least = different.groupBy("class").agg(F.min("id").alias("component_id"))
-    classes = different.join(least, "class").select("node", "component_id")
-    return fps.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = WIDE_WORDS, bits: int = WIDE_BITS, size: int = WIDE_SIZE) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; by default of a similarity of 0.8 on five words."""
-    kept = similar(docs, words, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stage(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))
-    out = rows.join(kept, same, "left_semi")
-    if not kept.where("__n > 1").isEmpty():  # only then texts are shuffled once more, to keep one of the repeated rows
-        out = out.dropDuplicates(["doc_id", "__t"])
-    return out.drop("__t")
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: one row per document with its class."""
+    fps = stage(fingerprints(docs, words), "fingerprints")
+    of = connected_components(links(fps, bits)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
+    different = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+    different = stage(different, "fingerprint-classes")
+    least = different.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = different.join(least, "class").select("fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with fingerprint and class."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
