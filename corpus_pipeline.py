@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, langid, packing, pii, simhash
+from graphloom.llm import decontaminate, langid, packing, pii, similar
 from graphloom.plans.shared import stage
 
 
@@ -15,7 +15,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class (6), that of the smallest id; shingles of five words, similarity 0.8."""
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
