@@ -25,7 +25,8 @@ Sums leave that stage partially aggregated.
 
 Null text has no words: zero counts and a null score.  Rows are scored by row,
 so repeated rows or null ids keep their own; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored.  Rows are numbered by their place in the scan, which only a
+plain scan repeats; any other frame is written once before it is numbered.
 """
 
 from __future__ import annotations
@@ -68,8 +69,17 @@ def vocabulary(docs: DataFrame, coded: int = CODED) -> tuple[DataFrame, int]:
     return stage(known, "lm-vocabulary"), counts.agg(F.sum("c")).head()[0] or 0
 
 
+def scanned(docs: DataFrame) -> bool:
+    """Whether every reading of ``docs`` gives the same rows in the same places: a scan of files, or columns or a filter of one."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" :+-!").split()[0].partition("[")[0] for line in plan.toString().splitlines() if line.strip()}
+    return bool(plan.deterministic()) and nodes <= {"Project", "Filter", "Relation"}
+
+
 def score(docs: DataFrame, coded: int = CODED, hot: int = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
     """``doc_id, n_words, n_backoff, logprob`` per row of ``docs``; ``coded`` and ``hot`` do not change results."""
+    if not scanned(docs):
+        docs = stage(docs.select("doc_id", "text"), "lm-documents")
     known, total = vocabulary(docs, coded)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("w"))
     # pairs of neighbours; the first word's has no word before it, the last one's none after it
