@@ -15,8 +15,9 @@ a conversation of T turns would hold T*T/2 turns, so the output is two tables:
 Turns go in order of ``turn``, ties by role, then text.  Null role or text is
 empty, a null ``turn`` comes first, a null ``conv_id`` is a conversation like
 any other, repeated rows are repeated turns, extra columns are ignored, and an
-empty table gives empty outputs.  A conversation is streamed, not gathered: of
-a hot one a task holds one batch of rows.
+empty table gives empty outputs.  Turns are dealt out in ranges of their order, so
+a hot conversation is formatted by many tasks; its digest in :func:`describe`,
+a hash of the whole, is streamed by one, which holds a batch of rows.
 """
 
 from __future__ import annotations
@@ -27,22 +28,23 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.shared import shared_dir
+from graphloom.plans.shared import shared_dir, stage
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Control strings of this and other common templates.
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
-_CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
+#: Where a control string begins; one may begin inside another.
+_CONTROL = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURNS = "conv_id long, turn_no long, text string, starts long, body_from long, body_to long, trainable boolean"
 
 
 def escape(text: str) -> str:
-    """Doubles backslashes, then puts one into each control string after its first character."""
-    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+    """Doubles backslashes, then puts one into each control string after its first character; none is left."""
+    return _CONTROL.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
@@ -64,7 +66,10 @@ def parse(text: str) -> tuple[str, str]:
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last, no, place = object(), 0, 0
+    """Marked turns with their number and place within the part of the conversation that lies in this task."""
+    from pyspark import TaskContext
+
+    part, last, no, place = TaskContext.get().partitionId(), object(), 0, 0
     for b in batches:
         rows = []
         for conv, role, text in zip(b.conv_id, b.role, b.text, strict=True):
@@ -72,17 +77,26 @@ def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if conv != last:
                 last, no, place = conv, 0, 0
             out, at, to = render(role, text)
-            rows.append((conv, no, out, place, at, to, role == "assistant"))
+            rows.append((part, conv, no, out, place, at, to, role == "assistant"))
             no, place = no + 1, place + len(out)
-        frame = pd.DataFrame(rows, columns=["conv_id", "turn_no", "text", "starts", "body_from", "body_to", "trainable"])
+        frame = pd.DataFrame(rows, columns=["part", "conv_id", "turn_no", "text", "starts", "body_from", "body_to", "trainable"])
         yield frame.assign(conv_id=frame.conv_id.astype("Int64"))
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """The ``turns`` table; one shuffle by conversation, then a stream in turn order."""
+    """The ``turns`` table: ranges of turns are numbered each by itself, then moved by what earlier ranges hold of the conversation."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    order = ["conv_id", "turn", "role", "text"]
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", blank("role"), blank("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(_number, _TURNS)
+    local = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_number, f"part int, {_TURNS}"), "chat-ranges")
+    held = local.groupBy("part", "conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.select(F.col("part").alias("p"), F.col("conv_id").alias("c"), F.sum("n").over(earlier).alias("turns_before"), F.sum("chars").over(earlier).alias("chars_before"))
+    # only a conversation cut by a range's end has an earlier part: at most one row per range
+    moved = stage(moved.where("turns_before IS NOT NULL"), "chat-moves")
+    out = local.join(moved, (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    later = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0))).alias(c)
+    return out.select("conv_id", later("turn_no", "turns_before"), "text", later("starts", "chars_before"), "body_from", "body_to", "trainable")
 
 
 def examples(turns: DataFrame) -> DataFrame:
@@ -93,8 +107,8 @@ def examples(turns: DataFrame) -> DataFrame:
 
 def expand(turns: DataFrame) -> DataFrame:
     """Full texts ``conv_id, example_no, text, loss_from, loss_to``.  Quadratic in a conversation's turns."""
-    t = turns.select("conv_id", F.col("turn_no").alias("n"), "text")
-    joined = examples(turns).join(t, "conv_id").where("n <= turn_no")
+    t = turns.select(F.col("conv_id").alias("c"), F.col("turn_no").alias("n"), "text")
+    joined = examples(turns).join(t, F.col("conv_id").eqNullSafe(F.col("c"))).where("n <= turn_no")
     whole = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]))
     return joined.groupBy("conv_id", "example_no", "loss_from", "loss_to").agg(whole.alias("text")).select("conv_id", "example_no", "text", "loss_from", "loss_to")
 
