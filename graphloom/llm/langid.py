@@ -39,7 +39,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 ORDER, TRAIN_DOCS, TRAIN_CHARS, MOST_LANGUAGES, SCALE = 3, 400, 100_000, 256, 16
 #: What the filter asks for: the posterior of the best language, and bits a byte at most.
-LEAST_SCORE, MOST_BITS = 0.4, 6.0
+LEAST_SCORE, MOST_BITS = 0.4, 7.0
 #: Bytes whose windows are held at once.
 AT_ONCE = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql.functions import lit
 
 import corpus_pipeline
-from graphloom.llm import chat, decontaminate, embeddings, entries, langid, licenses, lm, packing, pii, simhash, token_files
+from graphloom.llm import chat, decontaminate, embeddings, entries, langid, licenses, lm, packing, pii, simhash, similar, token_files
 from graphloom.llm.tokens import Encoder, default_path
 from tests.oracle import SMALL, same
 
@@ -141,7 +141,6 @@ def test_simhash(spark, odd):
     got = simhash.near_duplicates(odd).toPandas()
     assert len(got) == len(ODD) and (got[got.doc_id == 1].fingerprint == "0" * 16).all()
     assert got[got.doc_id == 2].component_id.iloc[0] == 1
-    assert simhash.keep_one(odd).where("doc_id = 3").count() == 1 and simhash.keep_one(odd.where("false")).count() == 0
     assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
@@ -163,24 +162,29 @@ def _versions(changed, groups=60, n=250):
 def test_similar_pairs_all_meet(spark):
     rows, alike = _versions(5)
     assert 0.8 <= min(alike) and max(alike) < 0.83
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows if i % 2 == 0]
 
 
 def test_only_similar_documents_go(spark):
     rows, alike = _versions(10)
     assert 0.6 < min(alike) and max(alike) < 0.8
-    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL")
     raw = docs.toPandas().sort_values("doc_id").reset_index(drop=True)
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in raw.text)]
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == raw.doc_id[sorted(set(_classes(raw.text)))].tolist()
+
+
+def _classes(texts):
+    """Class of each text by brute force: joined at a similarity of 0.8 of whole sets of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in texts)]
     comp = list(range(len(sets)))
     for j in range(len(sets)):
         for i in range(j):
-            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and comp[i] != comp[j]:
+            if comp[i] != comp[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
                 lo, hi = sorted((comp[i], comp[j]))
                 comp = [lo if c == hi else c for c in comp]
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == raw.doc_id[sorted(set(comp))].tolist()
+    return comp
 
 
 def test_language(spark, odd):
@@ -244,19 +248,7 @@ def test_pipeline(spark):
     assert known.columns == docs.columns and known.count() == docs.where("text RLIKE '\\\\p{L}'").count()
     one = corpus_pipeline.drop_near_duplicates(spark, known, SMALL).toPandas()
     raw = known.toPandas().sort_values("doc_id").reset_index(drop=True)
-    fp = np.array([[(f := simhash.fingerprint(t, 5, 128)) & (2**64 - 1), f >> 64] for t in raw.text], np.uint64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= simhash.WIDE_BITS
-    comp = np.arange(len(fp))
-    for _ in range(len(fp)):
-        comp = np.array([comp[near[i]].min() for i in range(len(fp))])
-    # no class is lost, and few members that are linked by brute force are missed
-    assert set(raw.doc_id[np.unique(comp)]) <= set(one.doc_id)
-    assert len(raw) - len(one) >= 0.9 * (len(raw) - len(np.unique(comp)))
-    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in raw.text)]
-    alike = lambda i, j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
-    left = np.flatnonzero(raw.doc_id.isin(one.doc_id))
-    twins = [(i, j) for k, i in enumerate(left) for j in left[k + 1 :] if not shingles[i].isdisjoint(shingles[j]) and alike(i, j) >= 0.8]
-    assert len(twins) <= 0.1 * (len(raw) - len(one))
+    assert sorted(one.doc_id) == raw.doc_id[sorted(set(_classes(raw.text)))].tolist()
     clean = corpus_pipeline.drop_benchmark(spark, spark.createDataFrame(one), SMALL).toPandas()
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     grams = {tuple(w[i : i + 10]) for w in map(words, pd.read_parquet(f"{SMALL}/benchmark.parquet").text) for i in range(max(1, len(w) - 9))}
