@@ -30,12 +30,11 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.sieve import sieve
 from graphloom.plans.shared import stage
 
 WINDOW = 10
 LITERAL_TERMS = 20_000
-#: Bits of the bitmap per term, and its size at most, as powers of two.
-BITS_PER_TERM, MOST_BITS = 4, 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,13 +81,8 @@ def _listed(terms: DataFrame, literal: int = LITERAL_TERMS):  # noqa: ANN202
     if n <= literal:
         words_ = [r["term"] for r in terms.select("term").collect()]
         return lambda w: w.isin(words_)
-    bits = min((n - 1).bit_length() + BITS_PER_TERM, MOST_BITS)
-    place = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1))
-    # the bitmap is as long as its bound says, however many terms there are
-    at = terms.select(place(F.col("term")).alias("h")).select(F.shiftright("h", 6).alias("k"), F.shiftleft(F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    ones = {r["k"]: r["b"] for r in at.groupBy("k").agg(F.bit_or("bit").alias("b")).collect()}
-    bitmap = F.lit([ones.get(k, 0) for k in range(max(1, 1 << (bits - 6)))])
-    return lambda w: F.getbit(bitmap[F.shiftright(place(w), 6).cast("int")], place(w).bitwiseAND(F.lit(63)).cast("int")) == 1
+    may = sieve(terms.select(F.xxhash64("term").alias("h")), "h")
+    return lambda w: may(F.xxhash64(w))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW, literal: int = LITERAL_TERMS) -> DataFrame:
@@ -177,8 +171,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     i, h, bad_i, bad_h = (f"{c}_{uuid4().hex}" for c in ("id", "h", "id", "h"))
     bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(bad_i), F.col("text_hash").alias(bad_h)).distinct()
     keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
-    # what goes is usually little: read from a written table, its size is known and decides how it is joined
-    return keyed.join(stage(bad, "contaminated"), F.col(i).eqNullSafe(F.col(bad_i)) & (F.col(h) == F.col(bad_h)), "left_anti").select(*docs.columns)
+    bad = stage(bad, "contaminated")
+    maybe = sieve(bad, bad_h)(F.col(h))  # only what may go is joined
+    out = keyed.where(maybe).join(bad, F.col(i).eqNullSafe(F.col(bad_i)) & (F.col(h) == F.col(bad_h)), "left_anti")
+    return keyed.where(~maybe).unionByName(out).select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

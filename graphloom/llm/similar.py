@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.sieve import sieve
 from graphloom.llm.simhash import CELLS, SEED, anchors, majority, meet
 from graphloom.operators.linkage import connected_components
 from graphloom.plans.shared import stage
@@ -46,7 +47,7 @@ WORDS = 5
 #: The similarity as a fraction, and the share of a set that step 1 looks at beyond what one common shingle needs.
 ALIKE, BEYOND = (4, 5), 10
 #: Bits of 128 within which members of a cell are linked; shingles of a family that one task holds.
-LOOSE, FAMILY = 44, 4_000_000
+LOOSE, FAMILY = 44, 1_000_000
 #: Shingles counted at once by a task of step 1, and most frequent shingles listed (speed only).
 AT_ONCE, FREQUENT = 1_000_000, 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -107,8 +108,8 @@ def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(2).to_pylist()]
-            node, n = pa.array([_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+            found = [(_number(s), len(s)) for s in (shingle_set(t.as_py(), words) for t in b.column(2))]
+            node, n = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n], names=["doc_id", "text_hash", "node", "n"])
 
     return stage(_rows(docs).mapInArrow(run, "doc_id long, text_hash long, node long, n long"), "shingle-sets")
@@ -139,8 +140,8 @@ def _first_shingles(words: int):  # noqa: ANN202
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["key", "node", "k"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                u = shingle_set(text, words)
+            for text in b.column(0):
+                u = shingle_set(text.as_py(), words)
                 node = _number(u)
                 if node not in held and len(u):
                     held[node] = u[: len(u) - _least(len(u)) + max(1, len(u) // BEYOND)]
@@ -211,7 +212,8 @@ def _whole_sets(docs: DataFrame, some: DataFrame, words: int) -> DataFrame:
                 fps = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "fp", "fp2", "w"])
 
-    met = _rows(docs).join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
+    # texts that cannot be meant are not shuffled where the join needs a shuffle
+    met = _rows(docs).where(sieve(some, "h")(F.col("text_hash"))).join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
     out = met.mapInArrow(run, "node long, n long, fp long, fp2 long, w array<long>")
     return stage(out if some.where("times > 1").isEmpty() else out.dropDuplicates(["node"]), "whole-sets")
 
@@ -334,13 +336,14 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     kept = stage(nodes.groupBy("class").agg(F.min("m").alias("m")).select("m.id", "m.h"), "kept")
     every = stage(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "row-counts")
     same = lambda i, h: F.col(i).eqNullSafe(F.col("id")) & (F.col(h) == F.col("h"))
-    # names that no column of the documents has; what goes is usually little, and then broadcast
+    # names that no column of the documents has; only what may go is joined
     i, h, gone_i, gone_h = (f"{c}_{uuid4().hex}" for c in ("id", "h", "id", "h"))
     keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: _key()})
     named = lambda df: df.select(F.col("doc_id").alias(gone_i), F.col("text_hash").alias(gone_h))
     equal = F.col(i).eqNullSafe(F.col(gone_i)) & (F.col(h) == F.col(gone_h))
     gone = stage(named(every.join(kept, same("doc_id", "text_hash"), "left_anti")), "gone")
-    out = keyed.join(gone, equal, "left_anti")
+    maybe = sieve(gone, gone_h)(F.col(h))
+    out = keyed.where(~maybe).unionByName(keyed.where(maybe).join(gone, equal, "left_anti"))
     twice = stage(named(every.where("n > 1").join(kept, same("doc_id", "text_hash"), "left_semi")), "repeated")
     if not twice.isEmpty():  # rows that are repeated, of which one stays
         out = out.join(twice, equal, "left_anti").unionByName(out.join(twice, equal, "left_semi").dropDuplicates([i, h]))

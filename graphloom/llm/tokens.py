@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Remembered pieces per worker; when full, the memory starts anew (speed only).
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 400_000
 #: Texts of so many characters together are cut at once.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 END_ID = 1
 _PLAIN = "\\t\\n\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\x{12f}\\x{131}-\\x{24f}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{20ac}"
 #: The steps before the model that the fast way stands for, and their rule for pieces (white space is that of ``_PLAIN``).
@@ -103,6 +103,7 @@ class Encoder:
                 yield from self._some(held)
                 held, size = [], 0
         yield from self._some(held)
+        pa.default_memory_pool().release_unused()
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_rule:
