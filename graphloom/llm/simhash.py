@@ -36,7 +36,8 @@ from graphloom.plans.shared import stage
 WORDS, BITS, SEED = 3, 3, 42
 #: Members of a cell that one task compares.
 CELL = 20_000
-_UPTO = 12
+#: Members of a cell whose few pairs are all compared at once; larger cells are searched.
+_UPTO = 4
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -83,8 +84,8 @@ def _blocks(fp: np.ndarray) -> list[np.ndarray]:
     return [((fp[:, k] >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) for k in range(fp.shape[1]) for half in (0, 1)]
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and anchor keys of all anchors within two bits, for all blocks of fingerprints ``(n, 64-bit words)``."""
+def anchors(fp: np.ndarray, threshold: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchor keys of all anchors within covering radius, 1, plus ``threshold`` bits, for all blocks of fingerprints ``(n, 64-bit words)``."""
     rows, keys = [], []
     bit = np.arange(1, 32, dtype=np.uint32)
     for block, x in enumerate(_blocks(fp)):
@@ -95,7 +96,7 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.where(syndrome > 0, x ^ (np.uint32(1) << np.maximum(syndrome, 1) - 1), x).astype(np.uint32)
         rows.append(np.arange(len(x)))
         keys.append(base | near)
-        for i in bit:
+        for i in bit if threshold else ():
             j = i ^ syndrome
             ok = np.flatnonzero((syndrome > 0) & (j > i))
             rows.append(ok)
@@ -110,7 +111,7 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = fp[at : at + 4000]
             rows, keys = anchors(part[:, None].view(np.uint64))
             mine = pa.array(part[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), mine, mine, pa.array(np.zeros(len(rows), np.int64))], names=["cell", "id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), mine, mine, pa.array(np.zeros(len(rows), np.int64)), mine], names=["cell", "id", "fp", "fp2", "joined"])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,80 +119,93 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-def forest(fp: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Links (as row numbers) that join all members within ``bits`` of each other, directly or through others."""
+def forest(fp: np.ndarray, bits: int = BITS, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (as row numbers) that join all members within ``bits`` of each other, directly or through others.
+
+    Members of one ``joined`` number are joined already, and need no links.
+    """
+    joined = np.arange(len(fp)) if joined is None else joined
     left, out, queue = np.arange(len(fp)), [], []
     while len(left) or queue:
         if not queue:
             queue, left = [left[0]], left[1:]
         x = queue.pop()
-        near = _apart(fp[left], fp[x]) <= bits
+        own = joined[left] == joined[x]
+        near = own | (_apart(fp[left], fp[x]) <= bits)
         if near.any():
-            out += [(int(x), y) for y in left[near].tolist()]
-            queue += left[near].tolist()
-            left = left[~near]
+            # one link joins all of a number
+            met, first = np.unique(joined[left[near & ~own]], return_index=True)
+            new = left[near & ~own][first]
+            out += [(int(x), y) for y in new.tolist()]
+            more = near | np.isin(joined[left], met)
+            queue += left[more].tolist()
+            left = left[~more]
     return out
 
 
-CELLS = "cell long, id long, fp long, fp2 long"
-_LINKS = "cell long, a long, b long, fp long, fp2 long"
+CELLS = "cell long, id long, fp long, fp2 long, joined long"
+_LINKS = "cell long, a long, b long, fp long, fp2 long, joined long"
 
 
 def _compare(bits: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links ``(null, a, b)``; members of over-full cells come back as ``(cell, id, null, fp, fp2)``."""
+        """Links ``(null, a, b)``; members of over-full cells come back as ``(cell, id, null, fp, fp2, joined)``."""
+        names = ["cell", "a", "b", "fp", "fp2", "joined"]
 
-        def over(cell: int, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell)), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["cell", "a", "b", "fp", "fp2"])
+        def over(cell: int, rows: np.ndarray) -> pa.RecordBatch:
+            ids, *rest = (pa.array(c) for c in rows.T.copy())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), cell)), ids, pa.nulls(len(rows), pa.int64()), *rest], names=names)
 
-        def whole(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            raw = fp.view(np.uint64)
+        def whole(cell: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, joined, raw = rows[:, 0], rows[:, 3], np.ascontiguousarray(rows[:, 1:3]).view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(starts, len(cell)))
             pairs = []
             small = np.repeat(sizes <= _UPTO, sizes)
             for k in range(1, _UPTO):
-                i = np.flatnonzero((cell[k:] == cell[:-k]) & small[:-k])
-                if not len(i):
-                    break
-                i = i[_apart(raw[i], raw[i + k]) <= bits]
-                pairs.append(np.stack([i, i + k], 1))
+                i = np.flatnonzero((cell[k:] == cell[:-k]) & small[:-k] & (joined[k:] != joined[:-k]))
+                if len(i):
+                    i = i[_apart(raw[i], raw[i + k]) <= bits]
+                    pairs.append(np.stack([i, i + k], 1))
             for s, n in zip(starts[sizes > _UPTO].tolist(), sizes[sizes > _UPTO].tolist(), strict=True):
-                pairs.append(np.array(forest(raw[s : s + n], bits), np.int64).reshape(-1, 2) + s)
+                pairs.append(np.array(forest(raw[s : s + n], bits, joined[s : s + n]), np.int64).reshape(-1, 2) + s)
             if pairs and sum(map(len, pairs)):
                 ends = np.unique(np.sort(ids[np.concatenate(pairs)], axis=1), axis=0)
                 none = pa.nulls(len(ends), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none], names=["cell", "a", "b", "fp", "fp2"])
+                yield pa.RecordBatch.from_arrays([none, pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none, none], names=names)
 
-        cells, ids, fps, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None
+        cells, rows, full = np.zeros(0, np.int64), np.zeros((0, 4), np.int64), None
         for batch in batches:
-            c, d, *f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            f = np.stack(f, 1)
+            c, *r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            r = np.stack(r, 1)
             if full is not None:  # the rest of a cell that is written out
                 n = int(np.searchsorted(c, full, "right"))
-                yield over(full, d[:n], f[:n])
-                c, d, f = c[n:], d[n:], f[n:]
+                yield over(full, r[:n])
+                c, r = c[n:], r[n:]
                 if not len(c):
                     continue
                 full = None
-            cells, ids, fps = np.concatenate([cells, c]), np.concatenate([ids, d]), np.concatenate([fps, f])
+            cells, rows = np.concatenate([cells, c]), np.concatenate([rows, r])
             last = int(np.searchsorted(cells, cells[-1], "left"))
             if len(cells) - last > most:
                 full = int(cells[-1])
-                yield over(full, ids[last:], fps[last:])
-                yield from whole(cells[:last], ids[:last], fps[:last]) if last else ()
-                cells, ids, fps = cells[:0], ids[:0], fps[:0]
+                yield over(full, rows[last:])
+                yield from whole(cells[:last], rows[:last]) if last else ()
+                cells, rows = cells[:0], rows[:0]
             elif last > 200_000:
-                yield from whole(cells[:last], ids[:last], fps[:last])
-                cells, ids, fps = cells[last:], ids[last:], fps[last:]
+                yield from whole(cells[:last], rows[:last])
+                cells, rows = cells[last:], rows[last:]
         if len(cells):
-            yield from whole(cells, ids, fps)
+            yield from whole(cells, rows)
 
     return run
 
 
 def meet(cells: DataFrame, bits: int, cell: int = CELL) -> DataFrame:
-    """``(a, b)``: spanning links of the members within ``bits`` of each other, of each cell of ``cells`` (``CELLS``)."""
+    """``(a, b)``: spanning links of the members within ``bits`` of each other, of each cell of ``cells`` (``CELLS``).
+
+    Members with the same number ``joined`` (their own id, unless it is known more) need no link.
+    """
     compare = lambda df, most: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits, most), _LINKS)
     found = stage(compare(cells, cell), "simhash-links")
     over, done = found.where("cell IS NOT NULL"), found.where("cell IS NULL").select("a", "b")
@@ -200,8 +214,8 @@ def meet(cells: DataFrame, bits: int, cell: int = CELL) -> DataFrame:
         # a member of block s meets block j in the cell (s, j)
         salt = F.pmod(F.xxhash64("a"), F.col("k"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("id"), "fp", "fp2", salt.alias("s"), other.alias("j"))
-        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "id", "fp", "fp2")
+        rows = over.join(sizes, "cell").select("cell", F.col("a").alias("id"), "fp", "fp2", "joined", salt.alias("s"), other.alias("j"))
+        rows = rows.select(F.xxhash64("cell", F.least("s", "j"), F.greatest("s", "j")).alias("cell"), "id", "fp", "fp2", "joined")
         done = done.unionByName(compare(rows, 2**31).select("a", "b"))
     return done
 

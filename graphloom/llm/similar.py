@@ -10,11 +10,13 @@ anchors are of two kinds, and whole sets decide:
    ``n - ceil(0.8 n) + k`` of either.  Sets of whose first shingles fewer are held
    by any other set have no partner; usually these are nearly all.
 2. *Cells.*  The 128-bit fingerprints of the others go to the anchors of the
-   covering code of :mod:`graphloom.llm.simhash` (four blocks), and to the first
+   covering code of :mod:`graphloom.llm.simhash` (of each of four blocks the one
+   within covering radius, which is complete for 3 bits), and then to the first
    ``n - ceil(0.8 n) + 1`` shingles of their set as further anchors, in an order
    that has the most frequent ones last: every pair at 0.8 meets in one of them.
-   Each cell links its members within ``LOOSE`` bits by a spanning forest.
-   That is six standard deviations beyond what a similarity of 0.8 turns.
+   Each cell links its members within ``LOOSE`` bits by a spanning forest; those
+   that the first kind of anchor has joined need no link in the second.  ``LOOSE``
+   is six standard deviations beyond what a similarity of 0.8 turns.
 3. *Families*, the components of these links, are compared as whole sets of
    shingles, exactly; only spanning links at ``ALIKE`` or more leave a family.  One
    over ``FAMILY`` shingles is cut into salted blocks whose pairs are families.
@@ -224,20 +226,28 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _cells(frequent: np.ndarray):  # noqa: ANN202
+def _code_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the covering code's anchors, of rows ``node, fp, fp2``."""
+    for b in batches:
+        node, fp = b.column(0).to_numpy(), np.stack([b.column(k).to_numpy() for k in (1, 2)], 1)
+        rows, keys = anchors(fp.view(np.uint64), 0)
+        mine = pa.array(node[rows])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), mine, pa.array(fp[rows, 0]), pa.array(fp[rows, 1]), mine], names=["cell", "id", "fp", "fp2", "joined"])
+
+
+def _shingle_cells(frequent: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of the first shingles, of rows ``node, fp, fp2, joined, w``."""
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                node, fp = part.column(0).to_numpy(), np.stack([part.column(k).to_numpy() for k in (1, 2)], 1)
-                values, n = _lists(part.column(3))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                values, n = _lists(part.column(4))
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((values, np.isin(values, frequent), owner))
                 rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
                 first = order[rank < np.repeat(n - _least(n) + 1, n)]
-                rows, keys = anchors(fp.view(np.uint64))
-                rows, keys = np.concatenate([rows, owner[first]]), np.concatenate([keys, values[first]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), pa.array(fp[rows, 0]), pa.array(fp[rows, 1])], names=["cell", "id", "fp", "fp2"])
+                rest = [pa.array(part.column(k).to_numpy()[owner[first]]) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(values[first]), *rest], names=["cell", "id", "fp", "fp2", "joined"])
 
     return run
 
@@ -306,8 +316,11 @@ def similar_sets(sets: DataFrame, cell: int = 20_000, family: int = FAMILY) -> D
     """``(a, b)``: links between the nodes of ``sets`` (``node, n, fp, fp2, w``); their components are those of all pairs at ``ALIKE``."""
     counted = sets.select(F.explode("w").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 8")
     frequent = np.array([r["s"] for r in counted.orderBy(F.desc("c"), "s").limit(FREQUENT).collect()], np.int64)
-    cells = sets.select("node", "fp", "fp2", "w").mapInArrow(_cells(frequent), CELLS)
-    of = connected_components(meet(cells, LOOSE, cell)).withColumnRenamed("component", "family")
+    close = meet(sets.select("node", "fp", "fp2").mapInArrow(_code_cells, CELLS), LOOSE, cell)
+    joined = stage(connected_components(close), "joined")
+    known = sets.join(joined, "node", "left").select("node", "fp", "fp2", F.coalesce("component", "node").alias("joined"), "w")
+    near = meet(known.mapInArrow(_shingle_cells(frequent), CELLS), LOOSE, cell)
+    of = connected_components(close.unionByName(near)).withColumnRenamed("component", "family")
     members = sets.select("node", "n").join(of, "node")
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(family // 2)).alias("k"))
     blocks = blocks.withColumn("k", F.when(F.col("k") <= 2, F.lit(1)).otherwise(F.col("k")).cast("long"))
