@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import KnowledgeGraph
 from graphloom.operators.linkage import connected_components as _linked
-from graphloom.plans.shared import stage
+from graphloom.plans.shared import drop_staged, stage
 
 TOLERANCE = 1e-6
 #: Different undirected links that the sequential community sweep may hold in one task.
@@ -34,11 +34,14 @@ def pagerank(graph: KnowledgeGraph, damping: float = 0.85, max_iter: int = 100)
         return nodes.select(F.col("id").alias("entity_id"), F.lit(0.0).alias("score"))
     score = nodes.withColumn("score", F.lit(1.0 / n))
     loose = nodes.where("dangling").count() / n
-    for _ in range(max(0, max_iter)):
+    for turn in range(max(0, max_iter)):
         given = score.join(links, "id").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("given")).withColumnRenamed("dst", "id")
+        last = score
         new = F.lit((1.0 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))
         score = stage(score.join(given, "id", "left").select("id", "dangling", new.alias("score"), F.col("score").alias("old")), "pagerank")
         change = score.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0))).head()
+        if turn:  # the table before this one is read no more
+            drop_staged(graph.spark, last)
         score, loose = score.drop("old"), change[1]
         if change[0] < TOLERANCE:
             break
@@ -203,7 +206,7 @@ def _sweep(m: float, sweeps: int, standard: bool):  # noqa: ANN202
 def _label_moves(links: DataFrame, m: float, sweeps: int) -> DataFrame:
     degree = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
     label = stage(degree.select("id", F.col("id").alias("c"), "k"), "louvain")
-    for turn in range(2 * min(sweeps, 20) if m else 0):
+    for turn in range(2 * sweeps if m else 0):
         total = label.groupBy("c").agg(F.sum("k").alias("total"))
         of = label.select(F.col("id").alias("dst"), "c")
         weight = links.where("src != dst").join(of, "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
@@ -213,7 +216,8 @@ def _label_moves(links: DataFrame, m: float, sweeps: int) -> DataFrame:
         turn_of = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
         move = best.where(turn_of & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)))).select("id", (-F.col("b.c")).alias("to"))
         new = stage(label.join(move, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", F.coalesce(F.col("to") != F.col("c"), F.lit(False)).alias("moved")), "louvain")
-        still, label = new.where("moved").isEmpty(), new.drop("moved")
+        still, last, label = new.where("moved").isEmpty(), label, new.drop("moved")
+        drop_staged(links.sparkSession, last)
         if still and turn % 2:
             break
     first = label.groupBy("c").agg(F.min("id").alias("root"))

@@ -31,7 +31,10 @@ class KnowledgeGraph:
         entities = entities if entities is not None else spark.createDataFrame([], ENTITY_SCHEMA)
         relations = relations if relations is not None else spark.createDataFrame([], RELATION_SCHEMA)
         if dict(entities.dtypes).get("embedding") == "string":
-            entities = entities.withColumn("embedding", F.from_json(F.trim("embedding"), "array<float>"))
+            # numbers between commas, with or without brackets; a bad one spoils the vector
+            inner = F.regexp_replace(F.trim("embedding"), r"^\[+|\]+$", "")
+            parts = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("float"))
+            entities = entities.withColumn("embedding", F.when(~F.exists(parts, lambda x: x.isNull()), parts))
         self.spark = spark
         self.entities = _with_columns(entities, ENTITY_SCHEMA)
         self.relations = _with_columns(relations, RELATION_SCHEMA)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +14,10 @@ Vector = Sequence[float] | str
 
 
 def as_vector(query: Vector) -> list[float]:
-    """Numbers of a query given as a list, an array or ``"[1, 2]"``."""
-    return [float(x) for x in (json.loads(query) if isinstance(query, str) else query)]
+    """Numbers of a query given as a list, an array, ``"[1, 2]"`` or ``"1, 2"``."""
+    if isinstance(query, str):
+        query = [x for x in query.strip().lstrip("[").rstrip("]").split(",") if x.strip()]
+    return [float(x) for x in query]
 
 
 def dot(a: Column, b: Column) -> Column:

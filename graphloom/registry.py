@@ -71,6 +71,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "kg_pagerank_converged": lambda s, d: analytics.pagerank(tables.interaction(s, d)).withColumn("score", F.round("score", 8)),
     "kg_version": lambda s, d: s.range(1).select(F.lit(graphloom.__version__).alias("version")),
     "kg_stats": lambda s, d: tables.commerce(s, d).stats().withColumn("density", F.round("density", 12)),
     "kg_bfs": lambda s, d: traversal.bfs(tables.commerce(s, d), _order(s, d), 4),

@@ -11,6 +11,7 @@ from graphloom import registry
 from graphloom.operators import analytics, quant, traversal, vector
 from graphloom.operators.graph import ENTITY_SCHEMA, RELATION_SCHEMA, KnowledgeGraph
 from graphloom.operators.linkage import connected_components
+from graphloom.plans import shared
 from graphloom.sources import tables
 
 REL = "id long, source_id long, target_id long, rel_type string, weight double"
@@ -106,3 +107,41 @@ def test_recall_of_all_queries(spark, tmp_path):
     assert len(want) == 4
     assert registry.QUERIES["kg_recall_at_10"](spark, str(tmp_path)).head()[0] == round(sum(want) / 4, 6)
     assert abs(quant.search_recall(v, v.id % 20 == 0, 10, block=3).head()[0] - sum(want) / 4) < 1e-9
+
+
+def test_pagerank_against_a_matrix(spark):
+    random.seed(8)
+    edges = [(random.randrange(60), random.randrange(60), "a", 1.0) for _ in range(150)]
+    g = graph(spark, edges, range(70))
+    m = np.zeros((70, 70))
+    for a, b, *_ in edges:
+        m[b, a] += 1
+    out = m.sum(axis=0)
+    p = np.full(70, 1 / 70)
+    for _ in range(100):
+        new = 0.15 / 70 + 0.85 * (m @ np.where(out > 0, p / np.maximum(out, 1), 0) + p[out == 0].sum() / 70)
+        done = np.abs(new - p).sum() < analytics.TOLERANCE
+        p = new
+        if done:
+            break
+    got = {r.entity_id: r.score for r in analytics.pagerank(g).collect()}
+    assert np.allclose([got[i] for i in range(70)], p, atol=1e-12)
+
+
+def test_text_vectors(spark):
+    rows = [(1, "[1, 2]"), (2, "1,2"), (3, " [0.5 , 1e1] "), (4, "1,x"), (5, ""), (6, None), (7, "[]")]
+    g = KnowledgeGraph(spark.createDataFrame(rows, "id long, embedding string"), None)
+    assert {r.id: r.embedding for r in g.entities.collect()} == {1: [1, 2], 2: [1, 2], 3: [0.5, 10], 4: None, 5: None, 6: None, 7: None}
+    assert vector.as_vector("1,2") == vector.as_vector("[1, 2]") == [1.0, 2.0] and vector.as_vector("[]") == []
+
+
+def test_shared_folder_of_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
