@@ -171,7 +171,7 @@ i AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS id FR
 SELECT v AS entity_id, id::INT AS scc_id FROM g JOIN i USING (root)""",
     "kg_vector_search": f"WITH {_Q} SELECT vec_id AS entity_id, 'vec_' || vec_id AS entity_name, label::VARCHAR AS entity_type, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10",
     "kg_hybrid_search": f"""WITH RECURSIVE {_Q}, m AS (SELECT count(*) AS n FROM embeddings),
-e AS (SELECT event_id % n AS s, (user_id * 31 + CAST(json_extract(props, '$.k') AS BIGINT) * 7) % n AS t FROM events, m WHERE event_id < 4 * n AND event_type IN ('click', 'purchase')),
+e AS (SELECT event_id % n AS s, (user_id * 31 + CAST(json_extract(props, '$.k') AS BIGINT) * 7) % n AS t FROM events, m),
 h AS (SELECT vec_id, 'vec_' || vec_id AS name, label::VARCHAR AS kind, list_cosine_similarity(embedding::DOUBLE[], q) AS x FROM embeddings, q ORDER BY x DESC, vec_id LIMIT 10),
 r(v, x, d) AS (SELECT vec_id, vec_id, 0 FROM h UNION SELECT r.v, e.t, d + 1 FROM r JOIN e ON e.s = r.x WHERE d < 2),
 c AS (SELECT v, count(DISTINCT x) - 1 AS n FROM r GROUP BY v),
