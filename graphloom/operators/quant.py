@@ -3,9 +3,9 @@
 The calibration-free quantizer flips signs by a seeded sequence, scales to unit
 variance, codes against a fixed codebook and keeps one more bit on the residual.
 The trained one codes linearly between each dimension's minimum and maximum.
-Both score a full-precision query against codes.  Arithmetic is single
-precision in NumPy over Arrow batches; :func:`similarity_expr` is the same in
-double precision as a column expression inside generated code.
+Both score a full-precision query against codes.  Inputs are single precision,
+arithmetic is double precision in NumPy over Arrow batches, and norms are stored
+in single precision.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators.graph import KnowledgeGraph
-from graphloom.operators.vector import Vector, as_vector, dot, literal
+from graphloom.operators.vector import Vector, as_vector, dot, literal, matrix
 
 #: Reconstruction levels for one and four bits, the range for eight, and the correction's constant.
 LEVELS_1BIT = [-0.7979, 0.7979]
@@ -50,7 +51,7 @@ def parse_level(name: str, default: str = "int8") -> str:
 
 def signs(dims: int, seed: int) -> np.ndarray:
     """+-1 by the low bit (even: +1) of a 64-bit xorshift sequence."""
-    mask, x, out = (1 << 64) - 1, seed or DEFAULT_SEED, np.ones(dims, np.float32)
+    mask, x, out = (1 << 64) - 1, seed or DEFAULT_SEED, np.ones(dims)
     for i in range(dims):
         x ^= x << 13 & mask
         x ^= x >> 7
@@ -78,7 +79,7 @@ def unpack(data: np.ndarray, bits: int, dims: int) -> np.ndarray:
     if bits == 1:
         return np.unpackbits(data, axis=1, bitorder="little")[:, :dims]
     if bits == 4:
-        return np.stack([data & 15, data >> 4], axis=2).reshape(len(data), -1)[:, :dims]
+        return np.stack([data & 15, data >> 4], axis=2).reshape(len(data), 2 * data.shape[1])[:, :dims]
     return data
 
 
@@ -90,20 +91,20 @@ class FreeQuantizer:
         self.bits = BITS[level]
         self.signs, self.projection = signs(dims, self.seed), projection(dims, self.seed)
         codebook = {1: LEVELS_1BIT, 4: LEVELS_4BIT, 8: -RANGE_8BIT + np.arange(256) * (2 * RANGE_8BIT / 255)}[self.bits]
-        self.codebook = np.asarray(codebook, np.float32)
+        self.codebook = np.asarray(codebook, np.float64)
 
     def codes(self, t: np.ndarray) -> np.ndarray:
         if self.bits == 8:
-            return np.floor((np.clip(t, -RANGE_8BIT, RANGE_8BIT) + np.float32(RANGE_8BIT)) / np.float32(2 * RANGE_8BIT) * np.float32(255) + np.float32(0.5))
+            return np.floor((np.clip(t, -RANGE_8BIT, RANGE_8BIT) + RANGE_8BIT) / (2 * RANGE_8BIT) * 255 + 0.5)
         if self.bits == 4:
             return np.searchsorted((self.codebook[1:] + self.codebook[:-1]) / 2, t, side="left")
         return t >= 0
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, norms, residual bits and residual norms of rows; checks nothing."""
-        x = np.asarray(x, np.float32)
+        x = np.asarray(x, np.float32).astype(np.float64)
         norm = np.sqrt((x * x).sum(axis=1))
-        root = np.float32(np.sqrt(np.float32(self.dims)))
+        root = self.dims**0.5
         t = x * (root / norm)[:, None] * self.signs
         codes = self.codes(t)
         residual = t - self.codebook[codes.astype(np.int64)]
@@ -112,15 +113,15 @@ class FreeQuantizer:
 
     def similarity(self, data: np.ndarray, norm: np.ndarray, bit: np.ndarray, residual: np.ndarray, query: Vector) -> np.ndarray:
         """Cosine of codes with a full-precision query."""
-        q = np.asarray(as_vector(query), np.float32)
+        q = np.asarray(as_vector(query), np.float32).astype(np.float64)
         q_norm = np.sqrt((q * q).sum())
         if len(q) != self.dims or q_norm < TINY:
-            return np.zeros(len(data), np.float32)
-        root = np.float32(np.sqrt(np.float32(self.dims)))
+            return np.zeros(len(data))
+        root = self.dims**0.5
         main = self.codebook[unpack(data, self.bits, self.dims)] @ (self.signs * q) * (norm / root)
         if self.bits > 1:
-            main = main + np.where(residual > TINY, bit * residual * ((q @ self.projection) / root) * np.float32(CORRECTION), 0)
-        return np.where(norm < TINY, 0, np.clip(main / (q_norm * np.maximum(norm, np.float32(TINY))), -1, 1))
+            main = main + np.where(residual > TINY, bit * residual * ((q @ self.projection) / root) * CORRECTION, 0)
+        return np.where(norm < TINY, 0, np.clip(main / (q_norm * np.maximum(norm, TINY)), -1, 1))
 
     def quantize(self, vector: Vector) -> dict:
         """One vector, checked."""
@@ -136,35 +137,74 @@ class FreeQuantizer:
 
     def cosine_similarity(self, quantized: dict, query: Vector) -> float:
         data = np.frombuffer(quantized["data"], np.uint8)[None]
-        one = lambda k: np.array([quantized[k]], np.float32)
+        one = lambda k: np.array([quantized[k]], np.float64)
         return float(self.similarity(data, one("original_norm"), one("qjl_bit"), one("residual_norm"), query)[0])
 
 
-def _usable(x: list | np.ndarray | None, dims: int) -> bool:
-    if x is None or len(x) != dims:
-        return False
-    a = np.asarray(x, np.float32)
-    return bool(np.isfinite(a).all() and np.sqrt((a * a).sum()) >= TINY)
+def _usable(v: pa.Array, dims: int, least: float = TINY) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists are vectors of ``dims`` finite numbers and not below ``least``, and those as a matrix."""
+    ok, x = matrix(v, dims)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = x.astype(np.float32).astype(np.float64)
+        good = np.isfinite(x).all(axis=1) & (np.sqrt((x * x).sum(axis=1)) >= least)
+    ok[ok] = good
+    return ok, x[good]
+
+
+def _bytes(data: np.ndarray, ok: np.ndarray) -> pa.Array:
+    """Rows of bytes where ``ok``, null elsewhere."""
+    at = np.concatenate([[0], np.cumsum(ok)]) * data.shape[1]
+    bits = pa.py_buffer(np.packbits(ok, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ok), [bits, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _spread(values: object, ok: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A value per row where ``ok``, null elsewhere."""
+    out = np.zeros(len(ok), kind.to_pandas_dtype())
+    out[ok] = values
+    return pa.array(out, kind, mask=~ok)
+
+
+def _stored(quantized: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which structs hold codes of ``width`` bytes, those codes as a matrix, and the structs themselves."""
+    ok = np.array([d is not None and len(d) == width for d in quantized.field("data").to_pylist()], bool) & quantized.is_valid().to_numpy(zero_copy_only=False)
+    kept = quantized.filter(pa.array(ok))
+    return ok, np.frombuffer(b"".join(kept.field("data").to_pylist()), np.uint8).reshape(len(kept), width), kept
+
+
+def _floats(kept: pa.Array, name: str) -> np.ndarray:
+    return kept.field(name).to_numpy(zero_copy_only=False).astype(np.float64)
 
 
 def encode(df: DataFrame, dims: int, level: str = "int8", seed: int = 0, column: str = "embedding", to: str = "quantized") -> DataFrame:
     """``df`` with a column of codes; null for vectors of another length, zero, or not finite."""
     quantizer = FreeQuantizer(dims, parse_level(level), seed)
 
-    @F.pandas_udf(QUANTIZED)
-    def run(v: pd.Series) -> pd.DataFrame:
-        ok = np.array([_usable(x, dims) for x in v], bool)
-        out = pd.DataFrame([(None,) * 6] * len(v), columns=QUANTIZED.names, dtype=object)
-        if ok.any():
-            data, norm, bit, residual = quantizer.encode(np.stack(v[ok].to_list()))
-            rows = zip([d.tobytes() for d in data], norm.tolist(), [dims] * len(norm), [quantizer.level] * len(norm), bit.tolist(), residual.tolist(), strict=True)
-            out.loc[ok] = pd.DataFrame(rows, columns=QUANTIZED.names, dtype=object).to_numpy()
-        return out.assign(original_norm=out.original_norm.astype("Float32"), dims=out.dims.astype("Int32"), qjl_bit=out.qjl_bit.astype("Int8"), residual_norm=out.residual_norm.astype("Float32"))
-
-    out = df.withColumn(to, run(column))
+    @F.arrow_udf(QUANTIZED)
+    def run(v: pa.Array) -> pa.Array:
+        ok, x = _usable(v, dims)
+        data, norm, bit, residual = quantizer.encode(x)
+        level = pa.array(np.full(len(ok), quantizer.level, object), pa.string(), mask=~ok)
+        parts = [_bytes(data, ok), _spread(norm, ok, pa.float32()), _spread(dims, ok, pa.int32()), level, _spread(bit, ok, pa.int8()), _spread(residual, ok, pa.float32())]
+        return pa.StructArray.from_arrays(parts, QUANTIZED.names)
+
+    out = df.withColumn(to, run(F.col(column).cast("array<float>")))
     return out.withColumn(to, F.when(F.col(f"{to}.data").isNotNull(), F.col(to)))
 
 
+def score(df: DataFrame, query: Vector, level: str = "int8", seed: int = 0, column: str = "quantized", to: str = "similarity") -> DataFrame:
+    """``df`` with the cosine of the codes of :func:`encode` with a query of their length; null without codes."""
+    q = as_vector(query)
+    quantizer = FreeQuantizer(len(q), parse_level(level), seed)
+
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        ok, data, kept = _stored(v, -(-len(q) * quantizer.bits // 8))
+        return _spread(quantizer.similarity(data, *(_floats(kept, c) for c in ("original_norm", "qjl_bit", "residual_norm")), q), ok, pa.float64())
+
+    return df.withColumn(to, run(column))
+
+
 def quantized_search(graph: KnowledgeGraph, query: Vector, k: int = 10, level: str = "int8", seed: int = 0) -> DataFrame:
     """Top-k by the similarity of codes: ``entity_id, entity_name, entity_type, similarity, quantization_level, compression_ratio``.
 
@@ -176,15 +216,12 @@ def quantized_search(graph: KnowledgeGraph, query: Vector, k: int = 10, level: s
     rows = graph.entities.where(F.col("embedding").isNotNull())
     quantizer = FreeQuantizer(len(q), level, seed)
 
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        out = np.full(len(v), np.nan)
-        ok = np.array([_usable(x, len(q)) for x in v], bool)
-        if ok.any():
-            out[ok] = quantizer.similarity(*quantizer.encode(np.stack(v[ok].to_list())), q)
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        ok, x = _usable(v, len(q))
+        return _spread(quantizer.similarity(*quantizer.encode(x), q), ok, pa.float64())
 
-    scored = rows.select(F.col("id").alias("entity_id"), blank("name"), blank("entity_type"), run("embedding").alias("similarity")).where(~F.isnan("similarity"))
+    scored = rows.select(F.col("id").alias("entity_id"), blank("name"), blank("entity_type"), run(F.col("embedding").cast("array<float>")).alias("similarity")).where(F.col("similarity").isNotNull())
     if not q or k <= 0:
         scored = scored.where("false")
     return scored.orderBy(F.desc("similarity"), "entity_id").limit(max(k, 0)).select("*", F.lit(level).alias("quantization_level"), F.lit(32.0 / BITS[level]).alias("compression_ratio"))
@@ -206,9 +243,9 @@ def search_recall(entities: DataFrame, queries: Column, k: int = 10, level: str
                 raise ValueError("a stored vector has another length than the query")
             v = np.stack(x.embedding.to_list()).astype(np.float64)
             norms = np.sqrt((v * v).sum(axis=1))
-            ok = np.array([_usable(e, dims) for e in x.embedding], bool)
+            ok, usable = _usable(pa.array(x.embedding, pa.list_(pa.float32())), dims)
             quantizer = FreeQuantizer(dims, level, seed)
-            codes = quantizer.encode(np.stack(x.embedding[ok].to_list())) if ok.any() else None
+            codes = quantizer.encode(usable) if ok.any() else None
             for i, e in zip(q.id, q.embedding, strict=True):
                 e = np.asarray(e, np.float64)
                 size = norms * np.sqrt((e * e).sum())
@@ -231,37 +268,6 @@ def search_recall(entities: DataFrame, queries: Column, k: int = 10, level: str
     return hit.where("e = 1").agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("recall"))
 
 
-def similarity_expr(v: Column, query: Vector, level: str = "int8", seed: int = 0) -> Column:
-    """Encode and score in double precision as one column expression."""
-    q, level = as_vector(query), parse_level(level)
-    d, s, r = len(q), signs(len(q), seed).tolist(), projection(len(q), seed or DEFAULT_SEED).tolist()
-    x = v.cast("array<double>")
-    norm = F.sqrt(dot(x, x))
-    t = F.zip_with(x, literal(s), lambda a, b: a * b * F.lit(d**0.5) / norm)
-    if level == "int8":
-        decoded = F.transform(t, lambda a: F.floor((F.least(F.greatest(a, F.lit(-4.0)), F.lit(4.0)) + 4.0) / 8.0 * 255.0 + 0.5) * (8.0 / 255.0) - 4.0)
-    elif level == "int4":
-        middle = [(a + b) / 2 for a, b in zip(LEVELS_4BIT, LEVELS_4BIT[1:], strict=False)]
-
-        def nearest(a: Column) -> Column:
-            out = F.lit(LEVELS_4BIT[-1])
-            for m, value in reversed(list(zip(middle, LEVELS_4BIT, strict=False))):
-                out = F.when(a <= m, F.lit(value)).otherwise(out)
-            return out
-
-        decoded = F.transform(t, nearest)
-    else:
-        decoded = F.transform(t, lambda a: F.when(a >= 0, F.lit(LEVELS_1BIT[1])).otherwise(F.lit(LEVELS_1BIT[0])))
-    q_norm = sum(a * a for a in q) ** 0.5
-    total = dot(decoded, literal([a * b for a, b in zip(s, q, strict=True)])) * norm / F.lit(d**0.5)
-    if level != "binary":
-        residual = F.zip_with(t, decoded, lambda a, b: a - b)
-        size = F.sqrt(dot(residual, residual)) * norm / F.lit(d**0.5)
-        bit = F.when(dot(residual, literal(r)) >= 0, 1.0).otherwise(-1.0)
-        total = total + bit * size * F.lit(sum(a * b for a, b in zip(q, r, strict=True)) / d**0.5 * CORRECTION)
-    return F.least(F.greatest(total / (norm * q_norm), F.lit(-1.0)), F.lit(1.0))
-
-
 @dataclass
 class TrainedQuantizer:
     """Linear codes between the smallest and largest value of each dimension."""
@@ -278,6 +284,10 @@ class TrainedQuantizer:
     def compression_ratio(self) -> float:
         return 32.0 / BITS[self.level]
 
+    def size_bytes(self, dims: int) -> int:
+        """Bytes of the codes of ``dims`` numbers."""
+        return -(-dims * BITS[self.level] // 8)
+
     def _ready(self) -> None:
         if not self.is_trained:
             raise QuantizationError("NotTrained")
@@ -301,17 +311,16 @@ class TrainedQuantizer:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         self._ready()
-        x = np.asarray(x, np.float32)
+        x = np.asarray(x, np.float32).astype(np.float64)
         if x.shape[-1] != len(self.mins):
             raise QuantizationError("DimensionMismatch")
         if not np.isfinite(x).all():
             raise QuantizationError("InvalidVector")
+        low, high = self.mins.astype(np.float64), self.maxs.astype(np.float64)
         if BITS[self.level] == 1:
-            return x >= (self.mins + self.maxs) / 2
-        top = np.float32(2 ** BITS[self.level] - 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            c = np.nan_to_num((x - self.mins) / (self.maxs - self.mins) * top, posinf=float(top), neginf=0.0)
-        return np.clip(np.sign(c) * np.floor(np.abs(c) + np.float32(0.5)), 0, top)
+            return x >= (low + high) / 2
+        top = 2 ** BITS[self.level] - 1
+        return np.clip(np.floor((x - low) / (high - low) * top + 0.5), 0, top)
 
     def quantize(self, vector: Vector) -> dict:
         x = np.asarray(as_vector(vector), np.float32)
@@ -320,10 +329,11 @@ class TrainedQuantizer:
 
     def dequantize(self, codes: np.ndarray) -> np.ndarray:
         self._ready()
+        low, high = self.mins.astype(np.float64), self.maxs.astype(np.float64)
         if BITS[self.level] == 1:
-            middle = (self.mins + self.maxs) / 2
-            return np.where(codes > 0, (middle + self.maxs) / 2, (self.mins + middle) / 2).astype(np.float32)
-        return self.mins + codes.astype(np.float32) / np.float32(2 ** BITS[self.level] - 1) * (self.maxs - self.mins)
+            middle = (low + high) / 2
+            return np.where(codes > 0, (middle + high) / 2, (low + middle) / 2)
+        return low + codes / (2 ** BITS[self.level] - 1) * (high - low)
 
     def decode(self, quantized: dict) -> np.ndarray:
         return self.dequantize(unpack(np.frombuffer(quantized["data"], np.uint8)[None], BITS[self.level], quantized["dims"])[0])
@@ -346,20 +356,35 @@ class TrainedQuantizer:
         """``df`` with a struct of ``data, norm, dims``; null for vectors that cannot be coded."""
         self._ready()
 
-        @F.pandas_udf("struct<data:binary,norm:float,dims:int>")
-        def run(v: pd.Series) -> pd.DataFrame:
-            rows = []
-            for x in v:
-                try:
-                    got = self.quantize(x) if x is not None else None
-                except QuantizationError:
-                    got = None
-                rows.append((got["data"], got["norm"], got["dims"]) if got else (None, None, None))
-            return pd.DataFrame(rows, columns=["data", "norm", "dims"]).astype({"norm": "Float32", "dims": "Int32"})
+        dims = len(self.mins)
 
-        out = df.withColumn(to, run(column))
+        @F.arrow_udf("struct<data:binary,norm:float,dims:int>")
+        def run(v: pa.Array) -> pa.Array:
+            ok, x = _usable(v, dims, 0.0)
+            norm = np.sqrt((x * x).sum(axis=1))
+            return pa.StructArray.from_arrays([_bytes(pack(self.codes(x), BITS[self.level]), ok), _spread(norm, ok, pa.float32()), _spread(dims, ok, pa.int32())], ["data", "norm", "dims"])
+
+        out = df.withColumn(to, run(F.col(column).cast("array<float>")))
         return out.withColumn(to, F.when(F.col(f"{to}.data").isNotNull(), F.col(to)))
 
+    def score(self, df: DataFrame, query: Vector, column: str = "quantized", to: str = "score") -> DataFrame:
+        """``df`` with a struct of ``dot_product, cosine_distance`` of the codes of :meth:`encode` with a query; null without codes."""
+        self._ready()
+        q, dims, bits = np.asarray(as_vector(query), np.float32).astype(np.float64), len(self.mins), BITS[self.level]
+        size = np.sqrt((q * q).sum())
+
+        @F.arrow_udf("struct<dot_product:double,cosine_distance:double>")
+        def run(v: pa.Array) -> pa.Array:
+            ok, data, kept = _stored(v, self.size_bytes(dims))
+            norm = _floats(kept, "norm")
+            dot = self.dequantize(unpack(data, bits, dims)) @ q if len(q) == dims else np.zeros(len(kept))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = np.where((norm < TINY) | (size < TINY) | (len(q) != dims), 0.0, np.clip(dot / (size * norm), -1, 1))
+            return pa.StructArray.from_arrays([_spread(dot, ok, pa.float64()), _spread(1 - cosine, ok, pa.float64())], ["dot_product", "cosine_distance"])
+
+        out = df.withColumn(to, run(column))
+        return out.withColumn(to, F.when(F.col(f"{to}.dot_product").isNotNull(), F.col(to)))
+
 
 def train_ranges(df: DataFrame, column: str = "embedding") -> DataFrame:
     """``dim, lo, hi`` over all rows."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +31,45 @@ def literal(query: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in query))
 
 
+def matrix(v: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists have ``dims`` numbers, and those as rows of a matrix (null elements are NaN)."""
+    ok = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False) == dims
+    rows = v.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False)
+    return ok, rows.reshape(int(ok.sum()), dims)
+
+
 def cosine(v: Column, query: Sequence[float]) -> Column:
-    """Double-precision cosine with a constant vector; null for a zero vector."""
-    v = v.cast("array<double>")
-    norm = sum(x * x for x in query) ** 0.5
-    return F.try_divide(dot(v, literal(query)), F.sqrt(dot(v, v)) * F.lit(norm))
+    """Double-precision cosine with a constant vector, one matrix product per Arrow batch.
+
+    Null for a null or a vector of another length, 0.0 for a zero vector or one that is not finite.
+    """
+    q = np.asarray(query, np.float64)
+    size = np.sqrt((q * q).sum())
+
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        ok, x = matrix(v, len(q))
+        x = x.astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            got = x @ q / (np.sqrt((x * x).sum(axis=1)) * size)
+        out = np.zeros(len(ok))
+        out[ok] = np.where(np.isfinite(got), got, 0.0)
+        return pa.array(out, pa.float64(), mask=~ok)
+
+    return run(v.cast("array<double>"))
 
 
 def vector_search(graph: KnowledgeGraph, query: Vector, k: int = 10) -> DataFrame:
     """``entity_id, entity_name, entity_type, similarity``: exact top-k, ties by id.
 
     An empty query or ``k <= 0`` gives no rows; missing embeddings are left out;
-    a stored vector of another length is an error; zero vectors come last (0.0).
+    a stored vector of another length is an error; zero vectors and those that are not finite score 0.0.
     """
     q = as_vector(query)
     rows = graph.entities.where(F.col("embedding").isNotNull())
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     v = F.when(F.size("embedding") == len(q), F.col("embedding")).otherwise(F.raise_error(F.lit("a stored vector has another length than the query")).cast("array<float>"))
-    similarity = F.coalesce(cosine(v, q), F.lit(0.0)) if q else F.lit(0.0)
+    similarity = cosine(v, q) if q else F.lit(0.0)
     out = rows.select(F.col("id").alias("entity_id"), blank("name").alias("entity_name"), blank("entity_type").alias("entity_type"), similarity.alias("similarity"))
     if not q or k <= 0:
         return out.where("false")

@@ -28,15 +28,20 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quantized(level: str):  # noqa: ANN202
+    """Codes of all vectors and their similarity to the first one, through the stored form."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        s = quant.similarity_expr(F.col("embedding"), _first(spark, d), level)
-        return tables.vectors(spark, d).select(F.col("id").alias("entity_id"), F.round(s, 4).alias("similarity"))
+        q = _first(spark, d)
+        coded = quant.encode(tables.vectors(spark, d), len(q), level)
+        out = quant.score(coded, q, level)
+        return out.select(F.col("id").alias("entity_id"), F.hex("quantized.data").alias("data"), F.col("quantized.qjl_bit").cast("int").alias("qjl_bit"), F.round("similarity", 4).alias("similarity"))
 
     return run
 
 
 def _quantized_search(spark: SparkSession, d: str) -> DataFrame:
-    return quant.quantized_search(tables.similarity(spark, d), _first(spark, d), 10, "int8")
+    out = quant.quantized_search(tables.similarity(spark, d), _first(spark, d), 10, "int8")
+    return out.withColumn("similarity", F.round("similarity", 6))
 
 
 def _order(spark: SparkSession, d: str) -> int:
@@ -44,25 +49,46 @@ def _order(spark: SparkSession, d: str) -> int:
 
 
 def _path(spark: SparkSession, d: str) -> DataFrame:
-    nation = tables.table(spark, d, "nation").agg(F.min("n_nationkey")).head()[0] * 10 + tables.TAGS["nation"]
-    out = traversal.shortest_path(tables.commerce(spark, d), _order(spark, d), nation, 6)
-    return out.select("found", "from_id", "to_id", "total_cost", "hops", F.size("path").alias("steps"))
+    region = tables.table(spark, d, "region").agg(F.min("r_regionkey")).head()[0] * 10 + tables.TAGS["region"]
+    out = traversal.shortest_path(tables.commerce(spark, d), _order(spark, d), region, 6)
+    steps = F.transform("path", lambda n: F.concat_ws(":", n["entity_id"], F.coalesce(n["rel_type"], F.lit("-")), n["weight"].cast("decimal(12,2)")))
+    return out.select("found", "from_id", "to_id", "total_cost", "hops", F.array_join(steps, ";").alias("steps"))
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
     out = traversal.context(tables.commerce(spark, d), _order(spark, d), 2)
-    return out.select("center_entity_id", "depth", "total_nodes", F.size("context_nodes").alias("listed"))
+    listed = F.transform("context_nodes", lambda n: F.concat_ws(":", n["entity_id"], n["depth"], F.coalesce(n["parent_id"].cast("string"), F.lit("-")), F.coalesce(n["rel_type"], F.lit("-")), n["weight"].cast("decimal(12,2)")))
+    return out.select("center_entity_id", "depth", "total_nodes", F.array_join(listed, ";").alias("listed"))
 
 
 def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of the trained quantizer at every level, and their products with the first vector."""
+    v, query, out = tables.vectors(spark, d), _first(spark, d), None
+    for level in quant.BITS:
+        q = quant.TrainedQuantizer(level).fit(v)
+        rows = q.score(q.encode(v), query)
+        rows = rows.select("id", F.lit(level).alias("level"), F.hex("quantized.data").alias("data"), "quantized.dims", F.round("score.dot_product", 4).alias("dot_product"), F.round("score.cosine_distance", 4).alias("cosine_distance"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _simple(spark: SparkSession, d: str) -> DataFrame:
     v = tables.vectors(spark, d)
-    q = quant.TrainedQuantizer("int8").fit(v)
-    return q.encode(v).select("id", F.hex("quantized.data").alias("data"), "quantized.dims")
+    return quant.simple_int8(v, quant.train_ranges(v), _first(spark, d)).select("id", F.round("distance", 6).alias("distance"))
+
+
+def _cosine_distance(spark: SparkSession, d: str) -> DataFrame:
+    distance = vector.cosine_distance(F.col("embedding"), vector.literal(_first(spark, d)))
+    return tables.vectors(spark, d).select("id", F.round(distance, 6).alias("distance"))
 
 
 def _recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at 10 of int8 codes with every vector of an id divisible by 20 as a query."""
-    return quant.search_recall(tables.vectors(spark, d), F.col("id") % 20 == 0, 10).withColumn("recall", F.round("recall", 6))
+    """Recall at 10 of the codes of every level with every vector of an id divisible by 20 as a query."""
+    v, out = tables.vectors(spark, d), None
+    for level in quant.BITS:
+        row = quant.search_recall(v, F.col("id") % 20 == 0, 10, level).select(F.lit(level).alias("level"), F.round("recall", 6).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +119,8 @@ QUERIES = {
     "kg_quantize_info": lambda s, d: quant.quantize_info(s),
     "kg_sq_train": lambda s, d: quant.train_ranges(tables.vectors(s, d)),
     "kg_sq_encode": _trained,
+    "kg_simple_int8": _simple,
+    "kg_cosine_distance": _cosine_distance,
     "kg_recall_at_10": _recall,
 }
 
@@ -110,9 +138,10 @@ o AS (SELECT min(o_orderkey) * 10 + 5 AS o FROM orders)"""
 _BFS = """
 b(v, d) AS (SELECT o, 0 FROM o UNION SELECT e.t, d + 1 FROM b JOIN e ON e.s = b.v WHERE d < {depth}),
 l AS (SELECT v, min(d) AS d FROM b GROUP BY v),
-p(v, d, k, parent, rel, w, c) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE FROM o UNION ALL
+p(v, d, k, parent, rel, w, c, path) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE, o || ':-:0.00' FROM o UNION ALL
   SELECT e.t, p.d + 1, min(list_append(p.k, e.seq)), arg_min(p.v, list_append(p.k, e.seq)), arg_min(e.rel, list_append(p.k, e.seq)),
-    arg_min(e.w, list_append(p.k, e.seq)), arg_min(p.c + e.w, list_append(p.k, e.seq))
+    arg_min(e.w, list_append(p.k, e.seq)), arg_min(p.c + e.w, list_append(p.k, e.seq)),
+    arg_min(p.path || ';' || e.t || ':' || e.rel || ':' || e.w::DECIMAL(12,2), list_append(p.k, e.seq))
   FROM p JOIN e ON e.s = p.v JOIN l ON l.v = e.t AND l.d = p.d + 1 GROUP BY e.t, p.d)"""
 _G2 = """e AS (SELECT user_id AS s, CAST(json_extract(props, '$.k') AS BIGINT) AS t, value AS w FROM events),
 n AS (SELECT vec_id AS v FROM embeddings UNION SELECT s FROM e UNION SELECT t FROM e)"""
@@ -129,22 +158,71 @@ p{i + 1} AS MATERIALIZED (SELECT n.v, 0.15 / m.n + 0.85 * (coalesce(i{i}.x, 0) +
     return out + f" SELECT v AS entity_id, round(x * 1e6, 4) AS score FROM p{STEPS}"
 
 
+#: The seeds of the two sign sequences, the second shifted by a constant, and the levels.
+_SEEDS = ("16045690984503098046::UBIGINT", "((16045690984503098046::HUGEINT + 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT")
+_FOUR = "[-2.7326, -2.0690, -1.6352, -1.2732, -0.9617, -0.6736, -0.3992, -0.1332, 0.1332, 0.3992, 0.6736, 0.9617, 1.2732, 1.6352, 2.0690, 2.7326]::DOUBLE[]"
+_HEX = {
+    "int8": "array_to_string([format('{:02X}', c::INT) for c in k], '')",
+    "int4": "array_to_string([format('{:02X}', (k[2 * i - 1] + 16 * k[2 * i])::INT) for i in range(1, 33)], '')",
+    "binary": "array_to_string([format('{:02X}', list_sum([k[8 * i + j + 1] * (1 << j) for j in range(0, 8)])::INT) for i in range(0, 8)], '')",
+}
+
+
+def _signs_sql(name: str, seed: str) -> str:
+    """Signs of 64 dimensions by the low bit of a xorshift sequence; values are cut before they shift out."""
+    return f"""{name}_x(i, x) AS (SELECT 0, {seed} UNION ALL SELECT i + 1, xor(b, (b & 140737488355327::UBIGINT) << 17::UBIGINT)
+  FROM (SELECT i, xor(a, a >> 7::UBIGINT) AS b FROM (SELECT i, xor(x, (x & 2251799813685247::UBIGINT) << 13::UBIGINT) AS a FROM {name}_x WHERE i < 64))),
+{name} AS (SELECT list(CASE WHEN x % 2 = 1 THEN -1 ELSE 1 END::DOUBLE ORDER BY i) AS {name} FROM {name}_x WHERE i > 0)"""
+
+
+def _codes_sql(level: str, queries: str, stored: bool = False) -> str:
+    """``WITH`` tables of the codes: last ``z`` with ``vec_id, k, bit, qid, x`` (the similarity to each query)."""
+    code, value = {
+        "int8": ("floor((least(greatest(a, -4.0::DOUBLE), 4.0) + 4.0) / 8.0 * 255.0 + 0.5)::INT", "c * (8.0::DOUBLE / 255.0) - 4.0"),
+        "int4": ("len([i for i in range(1, 16) if a > (four[i] + four[i + 1]) / 2])::INT", "four[c + 1]"),
+        "binary": ("(a >= 0)::INT", "CASE WHEN c = 1 THEN 0.7979::DOUBLE ELSE -0.7979::DOUBLE END"),
+    }[level]
+    kept = "::FLOAT::DOUBLE" if stored else ""
+    fix = "0.0" if level == "binary" else "bit * rn * (list_dot_product(q, r) / 8.0 * 0.7978846::DOUBLE)"
+    return f"""WITH RECURSIVE {_signs_sql("s", _SEEDS[0])}, {_signs_sql("r", _SEEDS[1])}, f AS (SELECT {_FOUR} AS four),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE {queries}),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+t AS (SELECT vec_id, n, s, r, four, [v[i] * (8.0::DOUBLE / n) * s[i] for i in range(1, 65)] AS t FROM v, s, r, f),
+k AS (SELECT *, [{code} for a in t] AS k FROM t), y AS (SELECT *, [{value} for c in k] AS y FROM k),
+e AS (SELECT *, [t[i] - y[i] for i in range(1, 65)] AS e FROM y),
+c AS (SELECT vec_id, k, y, s, r, n{kept} AS n, CASE WHEN list_dot_product(e, r) >= 0 THEN 1 ELSE -1 END AS bit, (sqrt(list_dot_product(e, e)) * n / 8.0){kept} AS rn FROM e),
+z AS (SELECT vec_id, k, bit, qid, least(greatest((list_dot_product(y, [q[i] * s[i] for i in range(1, 65)]) * n / 8.0 + {fix}) / (n * sqrt(list_dot_product(q, q))), -1.0), 1.0) AS x FROM c, q)"""
+
+
 def _quantized_sql(level: str) -> str:
-    s, r = quant.signs(64, 0).astype(int).tolist(), quant.projection(64, quant.DEFAULT_SEED).astype(int).tolist()
-    if level == "int8":
-        code = "floor((least(greatest(a, -4.0::DOUBLE), 4.0) + 4.0) / 8.0 * 255.0 + 0.5) * (8.0::DOUBLE / 255.0) - 4.0"
-    elif level == "int4":
-        pairs = zip(quant.LEVELS_4BIT, quant.LEVELS_4BIT[1:], strict=False)
-        code = "CASE " + " ".join(f"WHEN a <= {(a + b) / 2!r}::DOUBLE THEN {a}::DOUBLE" for a, b in pairs) + f" ELSE {quant.LEVELS_4BIT[-1]}::DOUBLE END"
-    else:
-        code = "CASE WHEN a >= 0 THEN 0.7979::DOUBLE ELSE -0.7979::DOUBLE END"
-    fix = "0.0" if level == "binary" else f"(CASE WHEN list_dot_product(res, r) >= 0 THEN 1.0 ELSE -1.0 END) * sqrt(list_dot_product(res, res)) * n / 8.0 * (list_dot_product(q, r) / 8.0 * {quant.CORRECTION})"
-    return f"""WITH {_Q}, c AS (SELECT {s}::DOUBLE[] AS s, {r}::DOUBLE[] AS r),
-x AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
-t AS (SELECT vec_id, n, q, s, r, [x[i] * s[i] * 8.0::DOUBLE / n for i in range(1, 65)] AS t FROM x, q, c),
-k AS (SELECT *, [{code} for a in t] AS k FROM t),
-z AS (SELECT *, [t[i] - k[i] for i in range(1, 65)] AS res, [q[i] * s[i] for i in range(1, 65)] AS sq FROM k)
-SELECT vec_id AS entity_id, round(least(greatest((list_dot_product(k, sq) * n / 8.0 + {fix}) / (n * sqrt(list_dot_product(q, q))), -1.0), 1.0), 4) AS similarity FROM z"""
+    return f"{_codes_sql(level, 'vec_id = 0', True)} SELECT vec_id AS entity_id, {_HEX[level]} AS data, bit::INT AS qjl_bit, round(x, 4) AS similarity FROM z"
+
+
+def _recall_sql() -> str:
+    def one(level: str) -> str:
+        return f"""SELECT '{level}' AS level, round(avg(hit), 6) AS recall FROM ({_codes_sql(level, 'vec_id % 20 = 0')},
+a AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY x DESC, vec_id) AS i FROM z),
+b AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(v, q) DESC, vec_id) AS i FROM v, q)
+SELECT (a.i <= 10)::INT::DOUBLE AS hit FROM b JOIN a USING (qid, vec_id) WHERE b.i <= 10)"""
+
+    return " UNION ALL ".join(one(level) for level in ("int8", "int4", "binary"))
+
+
+def _trained_sql() -> str:
+    pieces = " UNION ALL ".join(f"SELECT vec_id AS id, level, {_HEX[level]} AS data, 64 AS dims, n, y FROM y WHERE level = '{level}'" for level in ("int8", "int4", "binary"))
+    return f"""WITH {_Q}, l(level, top) AS (VALUES ('int8', 255.0::DOUBLE), ('int4', 15.0::DOUBLE), ('binary', 1.0::DOUBLE)),
+m AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM (SELECT i, min(embedding[i])::DOUBLE AS lo, max(embedding[i])::DOUBLE AS hi FROM embeddings, range(1, 65) r(i) GROUP BY i)),
+k AS (SELECT vec_id, level, top, lo, hi, sqrt(list_dot_product(v, v))::FLOAT::DOUBLE AS n,
+  [(CASE WHEN top = 1 THEN (v[i] >= (lo[i] + hi[i]) / 2)::INT ELSE floor((v[i] - lo[i]) / (hi[i] - lo[i]) * top + 0.5) END)::INT for i in range(1, 65)] AS k
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l, m),
+y AS (SELECT *, [CASE WHEN top > 1 THEN lo[i] + k[i] / top * (hi[i] - lo[i]) WHEN k[i] = 1 THEN ((lo[i] + hi[i]) / 2 + hi[i]) / 2 ELSE (lo[i] + (lo[i] + hi[i]) / 2) / 2 END for i in range(1, 65)] AS y FROM k),
+h AS ({pieces})
+SELECT id, level, data, dims::INT AS dims, round(list_dot_product(y, q), 4) AS dot_product, round(1 - least(greatest(list_dot_product(y, q) / (n * sqrt(list_dot_product(q, q))), -1.0), 1.0), 4) AS cosine_distance FROM h, q"""
+
+
+_SIMPLE = f"""WITH {_Q}, m AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM (SELECT i, min(embedding[i])::DOUBLE AS lo, max(embedding[i])::DOUBLE AS hi FROM embeddings, range(1, 65) r(i) GROUP BY i)),
+y AS (SELECT vec_id, [floor((embedding[i]::DOUBLE - lo[i]) / (hi[i] - lo[i]) * 255.0 + 0.5) / 255.0 * (hi[i] - lo[i]) + lo[i] for i in range(1, 65)] AS y FROM embeddings, m)
+SELECT vec_id AS id, round(1 - list_dot_product(y, q) / (sqrt(list_dot_product(y, y)) * sqrt(list_dot_product(q, q)) + 1e-10), 6) AS distance FROM y, q"""
 
 
 ORACLE_SQL = {
@@ -155,8 +233,8 @@ ORACLE_SQL = {
   UNION ALL SELECT r_regionkey * 10, 1, -1, 'has', 1.0 FROM region
   UNION ALL SELECT n_nationkey * 10 + 1, 2, n_regionkey * 10, 'has', 1.0 FROM nation
   UNION ALL SELECT c_custkey * 10 + 2, 3, c_nationkey * 10 + 1, 'has', 1.0 FROM customer) SELECT * FROM a""",
-    "kg_shortest_path": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=6)} SELECT v IS NOT NULL AS found, (SELECT o FROM o) AS from_id, g AS to_id, coalesce(c, 0.0) AS total_cost, coalesce(d, 0) AS hops, CASE WHEN v IS NULL THEN 0 ELSE d + 1 END AS steps FROM (SELECT min(n_nationkey)::BIGINT * 10 + 1 AS g FROM nation) LEFT JOIN p ON v = g",
-    "kg_context": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=2)} SELECT (SELECT o FROM o) AS center_entity_id, 2 AS depth, count(*) AS total_nodes, count(*)::INT AS listed FROM p",
+    "kg_shortest_path": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=6)} SELECT v IS NOT NULL AS found, (SELECT o FROM o) AS from_id, g AS to_id, coalesce(c, 0.0) AS total_cost, coalesce(d, 0) AS hops, coalesce(path, '') AS steps FROM (SELECT min(r_regionkey)::BIGINT * 10 AS g FROM region) LEFT JOIN p ON v = g",
+    "kg_context": f"WITH RECURSIVE {_G1}, {_BFS.format(depth=2)} SELECT (SELECT o FROM o) AS center_entity_id, 2 AS depth, count(*) AS total_nodes, string_agg(v || ':' || d || ':' || coalesce(parent::VARCHAR, '-') || ':' || coalesce(rel, '-') || ':' || w::DECIMAL(12,2), ';' ORDER BY d, k) AS listed FROM p",
     "kg_pagerank": _pagerank_sql(),
     "kg_edge_modularity": f"""WITH {_G2}, m AS (SELECT sum(w) AS m FROM e), k AS (SELECT v, sum(w) AS k FROM (SELECT s AS v, w FROM e UNION ALL SELECT t, w FROM e) GROUP BY v)
 SELECT round(sum(e.w - a.k * b.k / (2 * m.m)) / any_value(m.m), 6) AS modularity FROM e JOIN embeddings x ON x.vec_id = e.s JOIN embeddings y ON y.vec_id = e.t AND y.label = x.label
@@ -180,6 +258,12 @@ SELECT vec_id AS entity_id, name AS entity_name, kind AS entity_type, round(x, 6
     "kg_quantized_int8": _quantized_sql("int8"),
     "kg_quantized_int4": _quantized_sql("int4"),
     "kg_quantized_binary": _quantized_sql("binary"),
+    "kg_quantized_search": f"""{_codes_sql("int8", "vec_id = 0")} SELECT vec_id AS entity_id, 'vec_' || vec_id AS entity_name, label::VARCHAR AS entity_type, round(x, 6) AS similarity, 'int8' AS quantization_level, 4.0::DOUBLE AS compression_ratio
+FROM z JOIN embeddings USING (vec_id) ORDER BY x DESC, vec_id LIMIT 10""",
+    "kg_sq_encode": _trained_sql(),
+    "kg_recall_at_10": _recall_sql(),
+    "kg_simple_int8": _SIMPLE,
+    "kg_cosine_distance": f"WITH {_Q} SELECT vec_id AS id, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)) + 1e-10), 6) AS distance FROM embeddings, q",
     "kg_quantize_info": "SELECT name, bits::INT AS bits_per_value, ratio::DOUBLE AS compression_ratio, loss::DOUBLE AS expected_recall_loss, speed AS expected_speedup, name = 'int8' AS is_default FROM (VALUES ('int8', 8, 4.0, 0.0, '2-3x'), ('int4', 4, 8.0, 0.02, '4-6x'), ('binary', 1, 32.0, 0.05, '8-10x')) t(name, bits, ratio, loss, speed)",
     "kg_sq_train": "SELECT (i - 1)::INT AS dim, min(embedding[i]) AS lo, max(embedding[i]) AS hi FROM embeddings, range(1, 65) r(i) GROUP BY i",
 }
