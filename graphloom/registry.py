@@ -138,7 +138,7 @@ o AS (SELECT min(o_orderkey) * 10 + 5 AS o FROM orders)"""
 _BFS = """
 b(v, d) AS (SELECT o, 0 FROM o UNION SELECT e.t, d + 1 FROM b JOIN e ON e.s = b.v WHERE d < {depth}),
 l AS (SELECT v, min(d) AS d FROM b GROUP BY v),
-p(v, d, k, parent, rel, w, c, path) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE, o || ':-:0.00' FROM o UNION ALL
+p(v, d, k, parent, rel, w, c, path) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE, o || '::0.00' FROM o UNION ALL
   SELECT e.t, p.d + 1, min(list_append(p.k, e.seq)), arg_min(p.v, list_append(p.k, e.seq)), arg_min(e.rel, list_append(p.k, e.seq)),
     arg_min(e.w, list_append(p.k, e.seq)), arg_min(p.c + e.w, list_append(p.k, e.seq)),
     arg_min(p.path || ';' || e.t || ':' || e.rel || ':' || e.w::DECIMAL(12,2), list_append(p.k, e.seq))
