@@ -72,6 +72,23 @@ KNOWN = [
     ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD + _BSD_3 + _BSD_END),
     ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("Unlicense", _UNLICENSE), ("Apache-2.0-notice", _APACHE_NOTICE), ("GPL-3.0-notice", _GPL3_NOTICE), *_LINES,
 ]
+#: Digests of the canonical form of full licence texts too long to be kept here, as common Linux distributions ship them.
+DIGESTS = [
+    ("Apache-2.0", "891ad20525c3a554dbb65f7eb384309a037aa98e2781df4382d37fe88dc6649e"),
+    ("Artistic-1.0-Perl", "0ce87c1a2f9de8bd07685d372028374149e71fffb4eab93598a4cdc00ed86780"),
+    ("BSD-3-Clause", "9c1c378ce1582c9d25bc92becd747b6da87ac08b3c361d95767aea7fe7e34905"),
+    ("CC0-1.0", "fafce6fc44c0b5fb558759a634ac05dd1bd01738d447fafab429e615ba9ab314"),
+    ("GFDL-1.2", "df9bdcc01c31ba20a61601f24885116a984c60ca77f8d85540578c462c7494c4"),
+    ("GFDL-1.3", "328a22db4a7c832f61a545235737f809247d30348a04e32738e655d8fc690cc0"),
+    ("GPL-1.0", "8006d6938e45108c7c95d49b6d84aa0a345eedc8566395dd2bc121b8e6ba4ae9"),
+    ("GPL-2.0", "5ca608bb2eb79eb10b1a80b55bb0a99df497ce228143b9d233b5df274e85643a"),
+    ("GPL-3.0", "574558f81ddacaf4aaa6dc5f7c3c6e0ce6c10c21a8b943ec8a6315fda3f388c1"),
+    ("LGPL-2.0", "ec44c766883b869bef6a328cf51aafbe256ee10744ba67af3472eda9d0446def"),
+    ("LGPL-2.1", "5ef8b7ba71d31fa31954beed6b9d500255758be9aaae1903502fe0f4c080e8d9"),
+    ("LGPL-3.0", "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525"),
+    ("MPL-1.1", "2f106f77ca079c28bc8d7cd424e925bdf4dffac85431d5daada97d4ce783fd9b"),
+    ("MPL-2.0", "7e20688289808cf47ec16a442bbbc044a092b494f6ce8d1d5b5a4eb933c9cb91"),
+]
 #: Steps in order: pattern and replacement, in a common subset of Java's and RE2's syntax (lines are separated by \n).
 STEPS = [
     (r"[\r\x0B\x0C]", "\n"),
@@ -95,14 +112,17 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``digest, license_id`` of the known texts."""
+    """``digest, license_id`` of the given texts; without any, of ``KNOWN`` and ``DIGESTS``."""
     rows = spark.createDataFrame(known if known is not None else KNOWN, "license_id string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, canonical_chars, digest, license_id`` (null: not a known licence) per row of ``docs``."""
-    known = known if known is not None else known_digests(docs.sparkSession)
+    known = known if known is not None else F.broadcast(known_digests(docs.sparkSession))  # a fixed number of rows
     rows = docs.select("doc_id", canonical(F.col("text")).alias("c"))
     rows = rows.select("doc_id", F.length("c").cast("long").alias("canonical_chars"), F.sha2("c", 256).alias("digest"))
     return rows.join(known, "digest", "left").select("doc_id", "canonical_chars", "digest", "license_id")
@@ -127,8 +147,9 @@ def _sql_canonical(c: str) -> str:
 def oracle() -> str:
     """SQL for :func:`op8_licenses`."""
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS)
     return f"""
-WITH k AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(n) AS license_id FROM (VALUES {values}) v(n, t) GROUP BY 1),
+WITH k AS (SELECT digest, min(n) AS license_id FROM (SELECT n, sha256({_sql_canonical("t")}) AS digest FROM (VALUES {values}) v(n, t) UNION ALL FROM (VALUES {digests}) w(n, digest)) GROUP BY digest),
 d AS (SELECT doc_id, {_sql_canonical("text")} AS c FROM documents)
 SELECT doc_id, CAST(length(c) AS BIGINT) AS canonical_chars, sha256(c) AS digest, license_id
 FROM d LEFT JOIN k ON k.digest = sha256(d.c)

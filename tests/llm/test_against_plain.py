@@ -7,7 +7,9 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -233,6 +235,25 @@ def test_licence_hits(spark):
     assert [r.license_id for r in got if r.doc_id == 99] == [None]
 
 
+def test_full_licence_texts(spark, tmp_path):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {n: (folder / f).read_text() for n, f in files.items() if (folder / f).is_file()}
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    other = [re.sub(r"\blicense\b", "licence", t).replace("\n", "\r\n").replace(";", " ;").upper() for t in texts.values()]
+    rows = [*enumerate(texts.values()), *enumerate(other), *((9, t[:-200]) for t in texts.values()), (9, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entries.QUERIES["op8_licenses"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.license_id) for r in got if r.doc_id < 9) == sorted([*enumerate(texts)] * 2)
+    assert {r.license_id for r in got if r.doc_id == 9} == {None}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entries.ORACLE_SQL["op8_licenses"]).df()
+    key = lambda r: (r.doc_id, r.canonical_chars, r.digest, r.license_id if isinstance(r.license_id, str) else "")
+    assert sorted(map(key, got)) == sorted(map(key, want.itertuples()))
+
+
 def test_sieve_lets_every_key_through(spark):
     keys = spark.range(5000).selectExpr("id * 7919 AS h")
     test = sieve.sieve(keys, "h")
