@@ -15,6 +15,8 @@ from graphloom.plans.shared import drop_staged, stage
 TOLERANCE = 1e-6
 #: Different undirected links that the sequential community sweep may hold in one task.
 LOUVAIN_EDGES = 2_000_000
+#: Least share of vertices with one neighbour on a side for which a round of merging pays.
+MERGE_SHARE = 0.1
 
 
 def pagerank(graph: KnowledgeGraph, damping: float = 0.85, max_iter: int = 100) -> DataFrame:
@@ -72,11 +74,14 @@ def connected_components(graph: KnowledgeGraph) -> DataFrame:
 def strong_roots(graph: KnowledgeGraph) -> DataFrame:
     """``id, root``: the smallest id of each vertex's strong component.
 
-    Vertices without relations in or out are trimmed round by round; among the
-    rest the smallest id that reaches a vertex colours it, and what can get back
-    to that id within its colour is its component.
+    Vertices with one neighbour on one side are merged into it first, so that
+    chains, rings and trees take rounds in proportion to the logarithm of their
+    length.  Of what remains, vertices without relations in or out are trimmed
+    round by round; the smallest id that reaches a vertex colours it, and what can
+    get back to that id within its colour is its component.
     """
     left = stage(graph.edges.where("src != dst").select("src", "dst").distinct(), "strong")
+    left, merged = _merged(left)
     done = None
     while True:
         while True:  # a vertex of a component has relations in and out
@@ -103,10 +108,57 @@ def strong_roots(graph: KnowledgeGraph) -> DataFrame:
         gone = found.select("id")
         left = stage(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "strong")
     if done is None:
-        return graph.vertices.select("id", F.col("id").alias("root"))
+        done = graph.spark.createDataFrame([], "id long, root long")
+    for rows in reversed(merged):
+        done = _unmerged(rows, done)
+    least = done.groupBy("root").agg(F.min("id").alias("least"))
+    done = done.join(least, "root").select("id", F.col("least").alias("root"))
     return graph.vertices.join(done, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _merged(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges with mergeable vertices merged, and the rounds: ``id, into, other`` for :func:`_unmerged`."""
+    rounds: list[DataFrame] = []
+    while True:
+        ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+        degree = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        n, one_in, one_out = degree.agg(F.count("*"), F.count_if(F.col("i") == 1), F.count_if(F.col("o") == 1)).head()
+        if max(one_in, one_out) < MERGE_SHARE * n or not n:
+            return edges, rounds
+        rows, smaller = _merge_round(edges, len(rounds), ("src", "dst") if one_in >= one_out else ("dst", "src"))
+        drop_staged(edges.sparkSession, edges)
+        rounds.append(rows)
+        edges = smaller
+
+
+def _merge_round(edges: DataFrame, turn: int, ends: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Merges a hashed half of the vertices with a single neighbour at their ``near`` side into those neighbours.
+
+    A vertex is merged only into one of the other half, so no neighbour is merged
+    in the same round.  Its edges of the other side go to the neighbour, which
+    reaches their ends already through the vertex, so other components stay as
+    they are.
+    """
+    near, far = ends
+    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+    single = edges.groupBy(F.col(far).alias("id")).agg(F.count("*").alias("n"), F.min(near).alias("into")).where("n = 1")
+    chosen = stage(single.where((coin("id") == 1) & (coin("into") == 0)).select("id", "into"), "strong")
+    kept = edges.join(chosen.select(F.col("id").alias(far)), far, "left_anti")
+    moved = stage(kept.join(chosen.withColumnRenamed("id", near), near, "left").select(near, far, "into"), "strong")
+    rows = moved.where("into IS NOT NULL").select(F.col(near).alias("id"), "into", F.col(far).alias("other"))
+    smaller = moved.select(F.coalesce("into", near).alias(near), far).where("src != dst").distinct()
+    return rows, stage(smaller.select("src", "dst"), "strong")
+
+
+def _unmerged(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Components with a round's vertices: one is in its neighbour's if that reaches, or is reached from, an end of its other edges."""
+    of = lambda c: done.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    both = rows.join(of("into"), "into", "left").join(of("other"), "other", "left")
+    root = F.coalesce("into_root", "into")
+    back = both.where(root == F.coalesce("other_root", "other")).select(F.explode(F.array("id", "into")).alias("id"), root.alias("root"))
+    return stage(done.unionByName(back).distinct(), "strong")
+
+
 def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """The smallest colour that reaches each vertex."""
     colour = stage(colour, "colour")

@@ -75,6 +75,33 @@ def test_contraction(spark):
     assert {r.node: r.component for r in got.collect()} == {x: parent[x] for x in linked}
 
 
+def test_long_chains_and_rings(spark, monkeypatch):
+    rounds = []
+    one = analytics._merge_round
+    monkeypatch.setattr(analytics, "_merge_round", lambda *a: rounds.append(1) or one(*a))
+    ring = [(i, (i + 1) % 600, "a", 1.0) for i in range(600)]
+    chain = [(i, i + 1, "a", 1.0) for i in range(600, 1200)]  # from the ring's tail on, without a way back
+    tree = [(2000 + i // 2, 2000 + i, "a", 1.0) for i in range(1, 400)]
+    g = graph(spark, [*ring, (7, 600, "a", 1.0), *chain, *tree, (2399, 2350, "a", 1.0)], range(3000))
+    got = {r.id: r.root for r in analytics.strong_roots(g).collect()}
+    assert len(got) == 3000 and {got[i] for i in range(600)} == {0}
+    assert all(got[i] == i for i in range(600, 3000))
+    assert len(rounds) <= 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_of_sparse_graphs(spark, seed):
+    random.seed(seed)
+    pairs = {(random.randrange(40), random.randrange(40)) for _ in range(38 + 6 * seed)}
+    reach = {v: {v} for v in range(40)}
+    for _ in range(40):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = {v: min(u for u in reach[v] if v in reach[u]) for v in range(40)}
+    got = {r.id: r.root for r in analytics.strong_roots(graph(spark, [(a, b, "a", 1.0) for a, b in sorted(pairs)], range(40))).collect()}
+    assert got == want
+
+
 def test_quantizers(spark):
     v = (np.arange(16) + 1) / 16
     for level, least in (("int8", 0.99), ("int4", 0.95), ("binary", 0.6)):
