@@ -56,7 +56,7 @@ def cosine(v: Column, query: Sequence[float]) -> Column:
         out[ok] = np.where(np.isfinite(got), got, 0.0)
         return pa.array(out, pa.float64(), mask=~ok)
 
-    return run(v.cast("array<double>"))
+    return run(v)
 
 
 def vector_search(graph: KnowledgeGraph, query: Vector, k: int = 10) -> DataFrame:
