@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from graphloom.operators.linkage import connected_components as _linked
 from graphloom.plans.shared import drop_staged, stage
 
 TOLERANCE = 1e-6
-#: Different undirected links that the sequential community sweep may hold in one task.
-LOUVAIN_EDGES = 2_000_000
+#: Rows that the sequential community sweep maps or gives out at a time.
+LOUVAIN_BATCH = 100_000
 #: Least share of vertices with one neighbour on a side for which a round of merging pays.
 MERGE_SHARE = 0.1
 
@@ -195,12 +197,14 @@ def edge_modularity(graph: KnowledgeGraph, communities: DataFrame) -> DataFrame:
     return sums.join(m).select(value.alias("modularity"))
 
 
-def louvain(graph: KnowledgeGraph, mode: str = "exact", standard_gain: bool = False, sweeps: int = 100, max_edges: int = LOUVAIN_EDGES) -> DataFrame:
+def louvain(graph: KnowledgeGraph, mode: str = "exact", standard_gain: bool = False, sweeps: int = 100) -> DataFrame:
     """``entity_id, community_id, modularity`` of one level of greedy moves; isolated entities are left out.
 
     ``exact`` visits vertices by ascending id and candidates by ascending
-    community and applies moves at once, in one task over the summed links (an
-    error beyond ``max_edges``).  ``distributed`` moves all vertices of a hashed
+    community and applies moves at once, in one task.  Its links (16 bytes each)
+    and its vertices' state (48 bytes each) are files of that task's temporary
+    folder, so any number of links that fits its disk will do; a sweep reads them
+    in order.  ``distributed`` moves all vertices of a hashed
     half of the graph at a time and is another algorithm with the same gain.
     ``standard_gain`` accepts by the change of modularity instead.
     """
@@ -212,29 +216,63 @@ def louvain(graph: KnowledgeGraph, mode: str = "exact", standard_gain: bool = Fa
     if mode == "distributed":
         label = _label_moves(links, m, sweeps)
     else:
-        if links.count() > max_edges:
-            raise ValueError(f"more than {max_edges} links in one task; use mode='distributed'")
-        label = links.coalesce(1).mapInPandas(_sweep(m, sweeps, standard_gain), "entity_id long, community_id int")
+        label = links.coalesce(1).sortWithinPartitions("src", "dst").mapInArrow(_sweep(m, sweeps, standard_gain), "entity_id long, community_id int")
     label = stage(label, "louvain")
     return label.join(F.broadcast(edge_modularity(graph, label)))  # one row
 
 
-def _sweep(m: float, sweeps: int, standard: bool):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[int, list[tuple[int, float]]] = {}
+def _on_disk(kind: type, rows: np.ndarray | int) -> np.ndarray:
+    """An array in an unnamed temporary file, zeros or a copy of ``rows``."""
+    n = rows if isinstance(rows, int) else len(rows)
+    with tempfile.TemporaryFile() as file:
+        out = np.asarray(np.memmap(file, kind, "w+", shape=max(n, 1)))[:n]
+    if not isinstance(rows, int):
+        out[:] = rows
+    return out
+
+
+def _stored_links(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From links sorted by source: vertices, where each one's links begin (and the end), their ends as places among the vertices, weights."""
+    with tempfile.TemporaryFile() as ends, tempfile.TemporaryFile() as weights, tempfile.TemporaryFile() as nodes, tempfile.TemporaryFile() as starts:
+        n, last = 0, None
         for b in batches:
-            for s, d, w in zip(b.src.tolist(), b.dst.tolist(), b.w.tolist(), strict=True):
-                near.setdefault(s, []).append((d, w))
-        nodes = sorted(near)
-        degree = {v: sum(w for _, w in near[v]) for v in nodes}
-        own, total = {v: k for k, v in enumerate(nodes)}, [degree[v] for v in nodes]
+            src = b.column("src").to_numpy()
+            if not len(src):
+                continue
+            new = np.concatenate([[last is None or src[0] != last], src[1:] != src[:-1]])
+            nodes.write(src[new].astype(np.int64).tobytes())
+            starts.write((n + np.flatnonzero(new)).astype(np.int64).tobytes())
+            ends.write(b.column("dst").to_numpy().astype(np.int64).tobytes())
+            weights.write(b.column("w").to_numpy().astype(np.float64).tobytes())
+            n, last = n + len(src), src[-1]
+        starts.write(np.int64(n).tobytes())
+        for file in (ends, weights, nodes, starts):
+            file.flush()
+        near, weight, ids, first = (np.asarray(np.memmap(file, kind, "r+")) if n else np.zeros(0, kind) for file, kind in ((ends, np.int64), (weights, np.float64), (nodes, np.int64), (starts, np.int64)))
+    for at in range(0, n, LOUVAIN_BATCH):  # every end is a source too
+        near[at : at + LOUVAIN_BATCH] = np.searchsorted(ids, near[at : at + LOUVAIN_BATCH])
+    return ids, first, near, weight
+
+
+def _sweep(m: float, sweeps: int, standard: bool):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, first, near, weights = _stored_links(batches)
+        n = len(ids)
+        own = _on_disk(np.int64, n)
+        for at in range(0, n, LOUVAIN_BATCH):
+            own[at : at + LOUVAIN_BATCH] = np.arange(at, min(at + LOUVAIN_BATCH, n))
+        degree = _on_disk(np.float64, n)
+        for v in range(n):
+            degree[v] = sum(weights[first[v] : first[v + 1]].tolist())
+        # views whose items are plain numbers
+        start, of, size, total = memoryview(first), memoryview(own), memoryview(degree), memoryview(_on_disk(np.float64, degree))
         for _ in range(sweeps if m else 0):
             moved = False
-            for v in nodes:
-                k, c = degree[v], own[v]
+            for v in range(n):
+                k, c, here = size[v], of[v], slice(start[v], start[v + 1])
                 weight: dict[int, float] = {}
-                for u, w in near[v]:
-                    weight[own[u]] = weight.get(own[u], 0.0) + w
+                for u, w in zip(own[near[here]].tolist(), weights[here].tolist(), strict=True):
+                    weight[u] = weight.get(u, 0.0) + w
                 leave = -weight.get(c, 0.0) / m + (total[c] - k) * k / (2 * m * m)
                 best, to = (0.0 if standard else leave), c
                 for other in sorted(weight):
@@ -246,11 +284,19 @@ def _sweep(m: float, sweeps: int, standard: bool):  # noqa: ANN202
                 if to != c:
                     total[c] -= k
                     total[to] += k
-                    own[v], moved = to, True
+                    of[v], moved = to, True
             if not moved:
                 break
-        names: dict[int, int] = {}
-        yield pd.DataFrame({"entity_id": nodes, "community_id": [names.setdefault(own[v], len(names)) for v in nodes]}).astype({"entity_id": "int64", "community_id": "int32"})
+        # numbers in the order of each community's first vertex, one above them in `name`
+        name, used = _on_disk(np.int64, n), 0
+        for at in range(0, n, LOUVAIN_BATCH):
+            mine = own[at : at + LOUVAIN_BATCH]
+            fresh, seen = np.unique(mine, return_index=True)
+            fresh = fresh[np.argsort(seen)]
+            fresh = fresh[name[fresh] == 0]
+            name[fresh] = np.arange(used + 1, used + 1 + len(fresh))
+            used += len(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + LOUVAIN_BATCH]), pa.array((name[mine] - 1).astype(np.int32))], ["entity_id", "community_id"])
 
     return run
 

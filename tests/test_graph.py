@@ -177,6 +177,43 @@ def test_pagerank_against_a_matrix(spark):
     assert np.allclose([got[i] for i in range(70)], p, atol=1e-12)
 
 
+def test_communities_of_millions_of_links(spark):
+    edges = spark.range(1_050_000).selectExpr("id", "id div 1000 source_id", "5000 + id % 1000 target_id", "'a' rel_type", "1.0D weight")
+    got = analytics.louvain(KnowledgeGraph(None, edges), sweeps=1).agg({"entity_id": "count", "community_id": "max"}).head()
+    assert got["count(entity_id)"] == 2050 and got["max(community_id)"] is not None
+
+
+@pytest.mark.parametrize("standard", [False, True])
+def test_communities_against_a_plain_sweep(spark, monkeypatch, standard):
+    monkeypatch.setattr(analytics, "LOUVAIN_BATCH", 7)
+    random.seed(5)
+    edges = [(random.randrange(0, 90, 3), random.randrange(0, 90, 3), "a", float(random.randrange(1, 9))) for _ in range(120)]
+    near, m = {}, sum(w for *_, w in edges)
+    for a, b, _, w in edges:
+        for s, t in ((a, b), (b, a)):
+            near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0.0) + w
+    own, size = {v: v for v in near}, {v: sum(near[v].values()) for v in near}
+    for _ in range(100):
+        before = dict(own)
+        for v in sorted(near):
+            total = lambda c: sum(size[u] for u in near if own[u] == c)
+            to = lambda c: sum(w for u, w in near[v].items() if own[u] == c)
+            k, c = size[v], own[v]
+            leave = -to(c) / m + (total(c) - k) * k / (2 * m * m)
+            best, best_c = (0.0 if standard else leave), c
+            for o in sorted({own[u] for u in near[v]} - {c}):
+                gain = to(o) / m - total(o) * k / (2 * m * m) + (leave if standard else -leave)
+                if gain > best:
+                    best, best_c = gain, o
+            own[v] = best_c
+        if own == before:
+            break
+    names = {}
+    want = {v: names.setdefault(own[v], len(names)) for v in sorted(near)}
+    got = analytics.louvain(graph(spark, edges), standard_gain=standard)
+    assert {r.entity_id: r.community_id for r in got.collect()} == want and len(names) > 1
+
+
 def test_text_vectors(spark):
     rows = [(1, "[1, 2]"), (2, "1,2"), (3, " [0.5 , 1e1] "), (4, "1,x"), (5, ""), (6, None), (7, "[]")]
     g = KnowledgeGraph(spark.createDataFrame(rows, "id long, embedding string"), None)
