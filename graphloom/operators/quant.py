@@ -83,6 +83,11 @@ def unpack(data: np.ndarray, bits: int, dims: int) -> np.ndarray:
     return data
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added in the order of dimensions: equal rows have equal sums wherever they stand, which a matrix product does not promise."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
 class FreeQuantizer:
     """Calibration-free quantizer of vectors of ``dims`` numbers."""
 
@@ -103,7 +108,7 @@ class FreeQuantizer:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, norms, residual bits and residual norms of rows; checks nothing."""
         x = np.asarray(x, np.float32).astype(np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
+        norm = np.sqrt(_sums(x * x))
         root = self.dims**0.5
         t = x * (root / norm)[:, None] * self.signs
         codes = self.codes(t)
@@ -114,11 +119,11 @@ class FreeQuantizer:
     def similarity(self, data: np.ndarray, norm: np.ndarray, bit: np.ndarray, residual: np.ndarray, query: Vector) -> np.ndarray:
         """Cosine of codes with a full-precision query."""
         q = np.asarray(as_vector(query), np.float32).astype(np.float64)
-        q_norm = np.sqrt((q * q).sum())
+        q_norm = np.sqrt(_sums((q * q)[None])[0])
         if len(q) != self.dims or q_norm < TINY:
             return np.zeros(len(data))
         root = self.dims**0.5
-        main = self.codebook[unpack(data, self.bits, self.dims)] @ (self.signs * q) * (norm / root)
+        main = _sums(self.codebook[unpack(data, self.bits, self.dims)] * (self.signs * q)) * (norm / root)
         if self.bits > 1:
             main = main + np.where(residual > TINY, bit * residual * ((q @ self.projection) / root) * CORRECTION, 0)
         return np.where(norm < TINY, 0, np.clip(main / (q_norm * np.maximum(norm, TINY)), -1, 1))
@@ -232,7 +237,8 @@ def search_recall(entities: DataFrame, queries: Column, k: int = 10, level: str
     rows = entities.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
     asked = rows.where(queries)
     n, m = (max(-(-df.count() // block), 1) for df in (rows, asked))
-    dealt = lambda df, own, of, to, times: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(of))).withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    # both sides' keys of one type: groups of unlike types are hashed to different partitions and never meet
+    dealt = lambda df, own, of, to, times: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")).withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
     def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -158,6 +158,32 @@ def test_recall_of_all_queries(spark, tmp_path):
     assert abs(quant.search_recall(v, v.id % 20 == 0, 10, block=3).head()[0] - sum(want) / 4) < 1e-9
 
 
+def test_equal_codes_tie():
+    rng = np.random.default_rng(6)
+    q = quant.FreeQuantizer(64, "binary")
+    for n in (1, 2, 3, 5, 7, 4099):
+        x = np.repeat(rng.normal(size=(1, 64)), n, axis=0)
+        y, query = q.codebook[quant.unpack(q.encode(x)[0], 1, 64)[0]], rng.normal(size=64).astype(np.float32).astype(float)
+        one = 0.0
+        for a, b in zip(y, q.signs * query, strict=True):
+            one += a * b
+        norm = q.encode(x)[1][0]
+        size = np.sqrt(np.cumsum(query * query)[-1])
+        assert set(q.similarity(*q.encode(x), query.tolist())) == {one * (norm / 8) / (size * norm)}
+
+
+def test_recall_of_blocks_in_many_partitions(spark):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(200)], "id long, embedding array<float>")
+    recall = lambda block: quant.search_recall(v, v.id % 20 == 0, 10, "binary", block=block).head()[0]
+    whole = recall(4096)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which puts small blocks into one partition
+    try:
+        assert 0 < whole == pytest.approx(recall(4096)) == pytest.approx(recall(30)) == pytest.approx(recall(3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_pagerank_against_a_matrix(spark):
     random.seed(8)
     edges = [(random.randrange(60), random.randrange(60), "a", 1.0) for _ in range(150)]
