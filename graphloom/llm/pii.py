@@ -135,9 +135,9 @@ def _further(text: str, failed: list[tuple[int, str, int]]) -> list[tuple[int, s
     out = list(failed)
     if _DIGIT.search(text):
         out += [(m.start(), k, m.end()) for k, p in (("phone", _PLAIN_PHONE), ("ssn", _SSN), ("account", _ACCOUNT)) for m in p.finditer(text)]
-    if " dot " in text or "(dot)" in text or "[dot]" in text:
+    out += [(m.start(), "secret", m.end()) for m in _LONG_RUN.finditer(text)]
+    if "dot " in text or "(dot)" in text or "[dot]" in text:
         out += [(m.start(), "email", m.end()) for m in _SPELLED.finditer(text)]
-        out += [(m.start(), "secret", m.end()) for m in _LONG_RUN.finditer(text)]
     if "=" in text or ":" in text:
         out += [(m.start(1), "secret", m.end(1)) for m in _ASSIGNED.finditer(text)]
     if any(n in text for n in GIVEN):
